@@ -5,8 +5,8 @@ The CSV form is written with plain cast and concat expressions rather than
 contains a raw line break, so lines can be joined with ``\\n`` and split again.
 
 CSV form: fields joined by commas; null is ``\\N``; strings are always quoted,
-quotes doubled.  Inside strings a backslash, LF and CR become ``\\s``, ``\\n``
-and ``\\r``, hence no string can look like the null mark.
+quotes doubled.  Inside strings a backslash, LF, CR and NUL become ``\\s``, ``\\n``,
+``\\r`` and ``\\0``, hence no string can look like the null mark.
 """
 
 from __future__ import annotations
@@ -17,6 +17,9 @@ from pyspark.sql import types as T
 
 NULL_MARK = "\\N"
 
+# The backslash comes first when writing and last when reading.
+ESCAPES = (("\\", "\\s"), ("\n", "\\n"), ("\r", "\\r"), ("\0", "\\0"))
+
 _PLAIN_CAST = (
     T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
     T.DecimalType, T.BooleanType, T.DateType, T.TimestampNTZType,
@@ -57,6 +60,11 @@ def as_schema(schema: T.StructType | str) -> T.StructType:
     return T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
 
 
+def column(name: str) -> Column:
+    """A top-level column, whatever characters its name has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def _sub(text: Column, old: str, new: str) -> Column:
     return F.replace(text, F.lit(old), F.lit(new))
 
@@ -66,21 +74,41 @@ def _quoted(text: Column) -> Column:
 
 
 def _escaped(text: Column) -> Column:
-    return _sub(_sub(_sub(text, "\\", "\\s"), "\n", "\\n"), "\r", "\\r")
+    for raw, code in ESCAPES:
+        text = _sub(text, raw, code)
+    return text
 
 
 def _unescaped(text: Column) -> Column:
-    restored = _sub(_sub(_sub(text, "\\n", "\n"), "\\r", "\r"), "\\s", "\\")
+    restored = text
+    for raw, code in reversed(ESCAPES):
+        restored = _sub(restored, code, raw)
     return F.when(F.contains(text, F.lit("\\")), restored).otherwise(text)
 
 
+def _refused(bad: Column, text: Column) -> Column:
+    return F.when(bad, F.raise_error(F.lit("string not representable in plain CSV")).cast("string")).otherwise(text)
+
+
 def _representable(text: Column) -> Column:
-    bad = (text == NULL_MARK) | F.contains(text, F.lit("\n")) | F.contains(text, F.lit("\r"))
-    return F.when(bad, F.raise_error(F.lit("string not representable in a plain CSV file")).cast("string")).otherwise(text)
+    unsafe = [F.contains(text, F.lit(c)) for c in ("\n", "\r", "\0")]
+    return _refused((text == NULL_MARK) | unsafe[0] | unsafe[1] | unsafe[2], text)
+
+
+def plain_strings(df: DataFrame) -> DataFrame:
+    """``df``, failing on a string that Spark's CSV reader would take for null."""
+    return df.select(
+        *[
+            _refused(column(f.name) == NULL_MARK, column(f.name)).alias(f.name)
+            if isinstance(f.dataType, T.StringType)
+            else column(f.name)
+            for f in df.schema
+        ]
+    )
 
 
 def _csv_field(field: T.StructField, escape: bool) -> Column:
-    value = F.col(f"`{field.name}`")
+    value = column(field.name)
     if isinstance(field.dataType, T.StringType):
         text = _quoted(_escaped(value) if escape else _representable(value))
     elif isinstance(field.dataType, T.TimestampType):
@@ -126,6 +154,4 @@ def decode(lines: DataFrame, schema: T.StructType, fmt: str, escape: bool = True
     strings = {f.name for f in schema if isinstance(f.dataType, T.StringType)}
     if not strings:
         return rows
-    return rows.select(
-        *[_unescaped(F.col(f"`{n}`")).alias(n) if n in strings else F.col(f"`{n}`") for n in schema.names]
-    )
+    return rows.select(*[_unescaped(column(n)).alias(n) if n in strings else column(n) for n in schema.names])

@@ -15,8 +15,11 @@ def _stripped(line: Column) -> Column:
 
 
 def field(line: Column, n: int) -> Column:
-    """The n-th field (from 1) between runs of blanks; empty when the line is shorter."""
-    return F.coalesce(F.get(F.split(_stripped(line), "[ \t\n]+"), F.lit(n - 1)), F.lit(""))
+    """The n-th field (from 1) between runs of blanks; empty when the line is shorter.
+
+    The pattern stops at that field, so long lines are not split up to their end.
+    """
+    return F.regexp_extract(line, f"^[ \t\n]*(?:[^ \t\n]+[ \t\n]+){{{n - 1}}}([^ \t\n]+)", 1)
 
 
 def first_and_rest(line: Column) -> tuple[Column, Column]:
@@ -110,8 +113,8 @@ def route(value: Column, classes: Mapping[str, Sequence[str]], default: str) ->
 
 def numeric_part(line: Column, delimiter: str, n: int) -> Column:
     """Leading number of the n-th delimited part; 0 when there is none."""
-    part = F.get(F.split(line, f"\\Q{delimiter}\\E"), F.lit(n - 1))
-    number = F.regexp_extract(F.coalesce(part, F.lit("")), r"^[ \t]*(-?[0-9]*\.?[0-9]*)", 1)
+    part = F.split_part(line, F.lit(delimiter), F.lit(n))
+    number = F.regexp_extract(part, r"^[ \t]*(-?[0-9]*\.?[0-9]*)", 1)
     return F.coalesce(number.try_cast("decimal(38,10)"), F.lit(0).cast("decimal(38,10)"))
 
 
@@ -127,3 +130,9 @@ def lines_after(text: Column, marker: str) -> Column:
     taken = F.split(F.regexp_replace(kinds, "m.", "ot"), "")
     chosen = F.zip_with(lines, taken, lambda x, k: F.when(k == "t", x))
     return F.filter(chosen, lambda x: x.isNotNull())
+
+
+def last_value(text: Column, key_pattern: str, key: int = 1, value: int = 2) -> Column:
+    """Within one text value, field ``value`` of the last line whose field ``key`` matches, else empty."""
+    hits = F.filter(F.split(text, "\n"), lambda x: field(x, key).rlike(key_pattern))
+    return F.coalesce(field(F.try_element_at(hits, F.lit(-1)), value), F.lit(""))

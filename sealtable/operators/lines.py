@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,17 +43,24 @@ def last_value_per_key(
 ) -> DataFrame:
     """One row per document, one column per rule: the value on the last line whose key matches.
 
-    By default the key is the first field of a line and the value the second.  The
-    aggregate is partial on the map side, so a document may be of any length.
+    By default the key is the first field of a line and the value the second.
+    Aggregating text means sorting it, so only matching lines are aggregated, in part
+    before the shuffle; documents without a match come from a plain distinct.
     """
     line = F.col("line")
     key = tx.field(line, 1) if key is None else key
     value = tx.field(line, 2) if value is None else value
-    latest = [
-        F.coalesce(F.max_by(value, F.when(key.rlike(pattern), F.col(order))), F.lit("")).alias(name)
-        for name, pattern in rules.items()
-    ]
-    return lines.groupBy(*doc).agg(*latest)
+    doc_id = F.struct(*doc).alias("_doc")  # a null id equals itself in this form
+    keyed = lines.select(doc_id, key.alias("_key"), value.alias("_value"), F.col(order).alias("_at"))
+    hit = [F.col("_key").rlike(pattern) for pattern in rules.values()]
+    last = [F.max_by("_value", F.when(h, F.col("_at"))).alias(name) for name, h in zip(rules, hit, strict=True)]
+    found = keyed.where(reduce(lambda a, b: a | b, hit)).groupBy("_doc").agg(*last)
+    return (
+        lines.select(doc_id)
+        .distinct()
+        .join(found, "_doc", "left")
+        .select("_doc.*", *[F.coalesce(F.col(name), F.lit("")).alias(name) for name in rules])
+    )
 
 
 def lines_after_marker(
@@ -101,23 +109,27 @@ def lines_after_marker(
     )
 
 
-def numeric_order(lines: DataFrame, delimiter: str, n: int, column: str = "line") -> list[Column]:
-    """Sort keys: the number leading the n-th delimited part, then the whole line."""
-    return [tx.numeric_part(F.col(column), delimiter, n), F.col(column)]
+def with_sort_number(lines: DataFrame, delimiter: str, n: int, column: str = "line") -> DataFrame:
+    """Add ``sort_number``, as a column: a sort would evaluate an expression at every comparison."""
+    return lines.withColumn("sort_number", tx.numeric_part(F.col(column), delimiter, n))
 
 
 def sorted_by_number(
     lines: DataFrame, delimiter: str, n: int, column: str = "line", tie_break: Sequence[str] = ("doc_id", "line_no")
 ) -> DataFrame:
-    """A global sort; ``tie_break`` lets copies of one line spread over partitions."""
-    return lines.orderBy(*numeric_order(lines, delimiter, n, column), *tie_break)
+    """A global sort by the number leading the n-th delimited part, then by the whole line.
+
+    ``tie_break`` lets copies of one line spread over partitions.
+    """
+    keyed = with_sort_number(lines, delimiter, n, column)
+    return keyed.orderBy("sort_number", column, *tie_break).drop("sort_number")
 
 
 def numbered_by_number(
     lines: DataFrame, delimiter: str, n: int, column: str = "line", tie_break: Sequence[str] = ("doc_id", "line_no")
 ) -> DataFrame:
     """The same order as an explicit place ``pos`` from 1, with no task seeing all rows."""
-    keyed = lines.withColumn("sort_number", tx.numeric_part(F.col(column), delimiter, n))
+    keyed = with_sort_number(lines, delimiter, n, column)
     return number_rows(keyed, [], ["sort_number", column, *tie_break], "pos")
 
 

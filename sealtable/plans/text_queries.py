@@ -44,11 +44,18 @@ def text_without_header(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ln.without_header(document_lines(spark, sf_dir))
 
 
+LAST_VALUE_RULES = {"after_the": "^(The|La|Die|El)$", "after_vowel": "^[AEIOU]"}
+
+
 def text_last_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document, the second field of the last line whose first field matches, for two keys."""
-    return ln.last_value_per_key(
-        document_lines(spark, sf_dir), ["doc_id"], {"after_the": "^(The|La|Die|El)$", "after_vowel": "^[AEIOU]"}
-    )
+    latest = [tx.last_value(F.col("text"), p).alias(name) for name, p in LAST_VALUE_RULES.items()]
+    return table(spark, sf_dir, "documents").select("doc_id", *latest)
+
+
+def line_table_last_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same on a table of lines."""
+    return ln.last_value_per_key(document_lines(spark, sf_dir), ["doc_id"], LAST_VALUE_RULES)
 
 
 def conversation_last_value(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -215,6 +222,14 @@ def _after_marker_sql(source: str, doc: str, line_no: str, flagged: str, select:
 _DOCUMENT_LINES = _LINES + ","
 _FIRST_FIELD, _SECOND_FIELD = "coalesce(f[1], '')", "coalesce(f[2], '')"
 
+_LAST_VALUE = f"""{_LINES}, fields as (select doc_id, line_no, {_FIELDS} as f from lines)
+        select doc_id,
+          coalesce(arg_max({_SECOND_FIELD}, line_no)
+            filter (where regexp_matches({_FIRST_FIELD}, '^(The|La|Die|El)$')), '') as after_the,
+          coalesce(arg_max({_SECOND_FIELD}, line_no)
+            filter (where regexp_matches({_FIRST_FIELD}, '^[AEIOU]')), '') as after_vowel
+        from fields group by doc_id"""
+
 _OPTIONS = """
     with options as (
       select o_orderkey as doc_id,
@@ -230,6 +245,7 @@ QUERIES = {
     "text_first_and_rest": text_first_and_rest,
     "text_without_header": text_without_header,
     "text_last_value": text_last_value,
+    "line_table_last_value": line_table_last_value,
     "conversation_last_value": conversation_last_value,
     "text_after_marker": text_after_marker,
     "line_table_after_marker": line_table_after_marker,
@@ -264,13 +280,8 @@ ORACLES = {
                regexp_replace(trim(line, ' ' || chr(9) || chr(10)), '^[^ \t\n]*[ \t\n]*', '') as rest
         from lines""",
     "text_without_header": f"{_LINES} select * from lines where line_no > 0",
-    "text_last_value": f"""{_LINES}, fields as (select doc_id, line_no, {_FIELDS} as f from lines)
-        select doc_id,
-          coalesce(arg_max({_SECOND_FIELD}, line_no)
-            filter (where regexp_matches({_FIRST_FIELD}, '^(The|La|Die|El)$')), '') as after_the,
-          coalesce(arg_max({_SECOND_FIELD}, line_no)
-            filter (where regexp_matches({_FIRST_FIELD}, '^[AEIOU]')), '') as after_vowel
-        from fields group by doc_id""",
+    "text_last_value": _LAST_VALUE,
+    "line_table_last_value": _LAST_VALUE,
     "conversation_last_value": """
         select conv_id, coalesce(arg_max(text, turn) filter (where role = 'user'), '') as user_said,
                coalesce(arg_max(text, turn) filter (where role = 'assistant'), '') as assistant_said

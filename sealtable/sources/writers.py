@@ -100,7 +100,8 @@ def write_plain(
     have_partitions: int | None = None,
     save_mode: str = "errorifexists",
 ) -> None:
-    spread(df, partitions, have_partitions).write.mode(save_mode).options(**payload.CSV_FILE).csv(path)
+    rows = spread(payload.plain_strings(df), partitions, have_partitions)
+    rows.write.mode(save_mode).options(**payload.CSV_FILE).csv(path)
 
 
 def seal_files(df: DataFrame, keyring: Keyring, file_bytes: int = FILE_BYTES) -> DataFrame:
