@@ -150,15 +150,18 @@ def joined_items(
     shuffle, otherwise one aggregate is enough.
     """
     group = list(group)
-    shown = F.col(item) if rewrite is None else F.replace(F.col(item), F.lit(rewrite[0]), F.lit(rewrite[1]))
-    rows = df.select(*group, item, *tie_break, shown.alias("_shown")).where(F.col(item).isNotNull())
+    rows = df.select(*group, item, *tie_break).where(F.col(item).isNotNull())
     largest = rows.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
     if largest <= max_items:
         parts = rows.withColumn("part_no", F.lit(0).cast("bigint"))
+        place = [item, *tie_break]
     else:
         numbered = number_rows(rows, group, [item, *tie_break], "_pos")
         parts = numbered.withColumn("part_no", F.floor((F.col("_pos") - 1) / max_items).cast("bigint"))
-    listed = F.array_sort(F.collect_list(F.struct(item, *tie_break, "_shown")))
-    return parts.groupBy(*group, "part_no").agg(
-        F.array_join(F.transform(listed, lambda r: r["_shown"]), sep).alias("items")
-    )
+        place = ["_pos"]
+    listed = F.array_sort(F.collect_list(F.struct(*place, F.col(item).alias("_item"))))
+
+    def shown(entry: Column) -> Column:
+        return entry["_item"] if rewrite is None else F.replace(entry["_item"], F.lit(rewrite[0]), F.lit(rewrite[1]))
+
+    return parts.groupBy(*group, "part_no").agg(F.array_join(F.transform(listed, shown), sep).alias("items"))

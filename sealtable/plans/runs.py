@@ -22,6 +22,17 @@ def of_runs(df: DataFrame, path_column: str, glob: str = RUN_GLOB) -> DataFrame:
     return df.where(glob_match(path, glob)).withColumn("app_id", after_last(path, "-"))
 
 
+def text_outputs(spark: SparkSession, folder: str, glob: str = RUN_GLOB) -> DataFrame:
+    """Lines of all text files below ``folder``, with the run's file or folder name as ``entry``."""
+    lines = spark.read.option("recursiveFileLookup", "true").text(folder)
+    mark = glob.strip("*")
+    return lines.select(
+        "value",
+        F.input_file_name().alias("path"),
+        F.regexp_extract(F.input_file_name(), f"[^/]*\\Q{mark}\\E[^/]*", 0).alias("entry"),
+    )
+
+
 def archive_runs(df: DataFrame, target: str, path_column: str, glob: str = RUN_GLOB, fmt: str = "parquet") -> None:
     """Store rows under one folder per run; archiving a run again replaces only that run.
 

@@ -7,15 +7,20 @@ sys.path.insert(0, str(pathlib.Path(__file__).resolve().parents[1]))
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from sealtable.session import builder
 
+    events = tmp_path_factory.mktemp("events")
+
     session = (
         builder("tests")
         .master("local[*]")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.eventLog.enabled", "true")
+        .config("spark.eventLog.dir", events.as_uri())
+        .config("spark.eventLog.compress", "false")
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
