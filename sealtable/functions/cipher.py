@@ -15,6 +15,9 @@ PLAIN_TEXT = "plain_text"
 
 CHECK_BYTES = 8
 
+# Fixed value: how a zstd frame begins.  No payload line begins like that.
+ZSTD_MAGIC = "28B52FFD"
+
 
 def check_value(data: Column) -> Column:
     """First bytes of the SHA-256 digest, used to refuse a wrong key or damaged bytes."""
@@ -30,9 +33,9 @@ def decrypt_bytes(data: Column, key: Column) -> Column:
     return F.aes_decrypt(data, key, F.lit("CBC"), F.lit("PKCS"))
 
 
-def seal(text: Column, key: Column) -> Column:
-    """Encrypt a string together with its check value."""
-    data = text.cast("binary")
+def seal(block: Column, key: Column) -> Column:
+    """Encrypt a string or bytes together with their check value."""
+    data = block.cast("binary")
     return encrypt_bytes(F.concat(check_value(data), data), key)
 
 
@@ -46,18 +49,29 @@ def bind(value: Column, use) -> Column:
 
 
 def _checked(data: Column) -> Column:
-    text = F.substring(data, CHECK_BYTES + 1, 2**31 - 1)
+    block = F.substring(data, CHECK_BYTES + 1, 2**31 - 1)
     found = F.substring(data, 1, CHECK_BYTES)
-    return F.when(found == check_value(text), text.cast("string")).otherwise(
-        F.raise_error(F.lit("check value differs: wrong key or damaged data")).cast("string")
+    return F.when(found == check_value(block), block).otherwise(
+        F.raise_error(F.lit("check value differs: wrong key or damaged data")).cast("binary")
     )
 
 
 def unseal(body: Column, key: Column) -> Column:
-    """Inverse of :func:`seal`; fails the job when the check value differs."""
+    """Inverse of :func:`seal`, as bytes; fails the job when the check value differs."""
     return bind(decrypt_bytes(body, key), _checked)
 
 
+def _as_text(block: Column) -> Column:
+    packed = F.substring(block, 1, len(ZSTD_MAGIC) // 2) == F.unhex(F.lit(ZSTD_MAGIC))
+    wrong = F.raise_error(F.lit("this table is compressed: read it with codec='zstd'")).cast("string")
+    return F.when(packed, wrong).otherwise(block.cast("string"))
+
+
+def unseal_text(body: Column, key: Column) -> Column:
+    """The same as text; compressed blocks are refused rather than misread."""
+    return bind(unseal(body, key), _as_text)
+
+
 def no_newlines(encoded: Column) -> Column:
     """Spark's ``base64`` may wrap at 76 characters; a text row must be one line."""
     return F.replace(encoded, F.lit("\r\n"), F.lit(""))

@@ -28,16 +28,18 @@ def transcode(
     fmt: str | None = None,
     save_mode: str = "errorifexists",
     keep: Column | None = None,
+    codec: str | None = None,
 ) -> None:
     """Read a table in one crypto mode and write it in another, optionally keeping only some rows."""
     if source.rstrip("/") == target.rstrip("/"):
         raise ValueError("input and output must be different folders")
-    table = read_table(spark, source, schema, keyring, input_mode, input_layout, fmt, input_partitions)
+    table = read_table(spark, source, schema, keyring, input_mode, input_layout, fmt, input_partitions, codec)
     if keep is not None:
         table = table.where(keep)
     write_table(
-        table, target, keyring, output_mode, output_layout, fmt, output_partitions, input_partitions, save_mode
-    )
+        table, target, keyring, output_mode, output_layout, fmt, output_partitions, input_partitions, save_mode,
+        codec=codec,
+    )
 
 
 def encrypt_table(
@@ -71,7 +73,7 @@ def query_table(
 def rekeyed(sealed: DataFrame, keyring: Keyring) -> DataFrame:
     """Ciphertext rows under older keys, encrypted anew under the active key.
 
-    Blocks are not taken apart: the text inside is not parsed.  Blocks that already
+    Blocks are not taken apart: what is inside stays packed, compressed or not.  Blocks that already
     use the active key pass through, so a rotation can be repeated or resumed.
     """
     stale = F.coalesce(F.col("key_id") != keyring.active_id, F.lit(True))

@@ -52,7 +52,8 @@ def stored(df: DataFrame, keyring: Keyring, layout: str = "line", **options) ->
 def sealed_copy(df: DataFrame, layout: str = "line", **options) -> DataFrame:
     """``df`` after a trip through an encrypted table."""
     spark, keyring = df.sparkSession, session_keyring(df.sparkSession)
-    return read_table(spark, stored(df, keyring, layout, **options), df.schema, keyring, layout=layout)
+    path = stored(df, keyring, layout, **options)
+    return read_table(spark, path, df.schema, keyring, layout=layout, codec=options.get("codec"))
 
 
 def _building(segment: str = "c_mktsegment", balance: str = "c_acctbal"):
@@ -318,6 +319,8 @@ QUERIES = {
     "roundtrip_parquet_lineitem": roundtrip("lineitem", "parquet"),
     "roundtrip_parquet_documents": roundtrip("documents", "parquet"),
     "roundtrip_single_rows_customer": roundtrip("customer", block_bytes=0),
+    "roundtrip_zstd_lineitem": roundtrip("lineitem", "parquet", codec="zstd"),
+    "roundtrip_zstd_documents": roundtrip("documents", codec="zstd"),
     "roundtrip_json_events": lambda spark, sf_dir: _json_copy(table(spark, sf_dir, "events")),
     "bulk_encrypt_orders": bulk_encrypt_orders,
     "bulk_decrypt_orders": bulk_decrypt_orders,
@@ -358,6 +361,8 @@ ORACLES = {
     "roundtrip_parquet_lineitem": "select * from lineitem",
     "roundtrip_parquet_documents": "select * from documents",
     "roundtrip_single_rows_customer": "select * from customer",
+    "roundtrip_zstd_lineitem": "select * from lineitem",
+    "roundtrip_zstd_documents": "select * from documents",
     "roundtrip_json_events": "select * from events",
     "bulk_encrypt_orders": "select * from orders",
     "bulk_decrypt_orders": "select * from orders",

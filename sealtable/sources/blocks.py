@@ -1,9 +1,10 @@
-"""Packing many text lines into one value before encryption.
+"""Packing many text lines into one value before encryption, and back.
 
 Starting a cipher costs far more than encrypting a hundred bytes, so rows are
 encrypted in blocks.  Packing needs neighbouring rows of one task and nothing
 else; Spark's own operators could only gather them through a shuffle, hence one
-``mapInArrow`` whose body joins strings inside Arrow.
+``mapInArrow`` whose body joins strings inside Arrow.  Blocks may be compressed on
+the way, which must come before encryption and which Spark has no function for.
 """
 
 from __future__ import annotations
@@ -15,11 +16,14 @@ from pyspark.sql import DataFrame
 BLOCK_BYTES = 256 * 1024
 
 
-def pack_lines(lines: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Join lines with ``\\n`` into blocks of about ``block_bytes``; a longer line is a block alone."""
-    name = lines.columns[0]
-    if block_bytes <= 0:
-        return lines.withColumnRenamed(name, "block")
+def pack_lines(lines: DataFrame, block_bytes: int = BLOCK_BYTES, codec: str | None = None) -> DataFrame:
+    """Join lines with ``\\n`` into blocks of about ``block_bytes``; a longer line is a block alone.
+
+    Blocks are text, or bytes when ``codec`` is ``zstd``.
+    """
+    _known(codec)
+    if block_bytes <= 0 and codec is None:
+        return lines.withColumnRenamed(lines.columns[0], "block")
 
     def pack(batches: Iterator) -> Iterator:
         import numpy as np
@@ -39,6 +43,34 @@ def pack_lines(lines: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
             groups = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), texts)
             for first in range(0, len(groups), 256):
                 joined = pc.binary_join(groups.slice(first, 256), pa.scalar("\n", pa.large_string()))
-                yield pa.RecordBatch.from_arrays([joined.cast(pa.string())], ["block"])
+                if codec is None:
+                    packed = joined.cast(pa.string())
+                else:
+                    zip_ = pa.Codec(codec).compress
+                    packed = pa.array([zip_(b.as_buffer(), asbytes=True) for b in joined], pa.binary())
+                yield pa.RecordBatch.from_arrays([packed], ["block"])
+
+    return lines.mapInArrow(pack, "block string" if codec is None else "block binary")
+
+
+def unpack_lines(blocks: DataFrame, codec: str) -> DataFrame:
+    """Lines of compressed blocks; the single column of ``blocks`` holds their bytes."""
+    _known(codec)
+
+    def unpack(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for batch in batches:
+            for block in batch.column(0):
+                with pa.CompressedInputStream(pa.BufferReader(block.as_buffer()), codec) as stream:
+                    text = pa.array([stream.read()], pa.large_binary()).cast(pa.large_string())
+                lines = pc.split_pattern(text, "\n").flatten()
+                yield pa.RecordBatch.from_arrays([lines.cast(pa.string())], ["line"])
+
+    return blocks.mapInArrow(unpack, "line string")
+
 
-    return lines.mapInArrow(pack, "block string")
+def _known(codec: str | None) -> None:
+    if codec not in (None, "zstd"):
+        raise ValueError(f"unknown codec {codec!r}")

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sealtable.functions import payload
-from sealtable.functions.cipher import AES_CBC, PLAIN_TEXT, bind, decrypt_bytes, unseal
+from sealtable.functions.cipher import AES_CBC, PLAIN_TEXT, bind, decrypt_bytes, unseal, unseal_text
 from sealtable.operators.keyring import Keyring
+from sealtable.sources.blocks import unpack_lines
 
 SEALED_GLOB = "*.csv.cbc"
 
@@ -41,15 +42,23 @@ def scan_sealed(
 
 
 def open_sealed(
-    sealed: DataFrame, keyring: Keyring, schema: T.StructType | str, fmt: str | None = None
+    sealed: DataFrame,
+    keyring: Keyring,
+    schema: T.StructType | str,
+    fmt: str | None = None,
+    codec: str | None = None,
 ) -> DataFrame:
     """Decrypt ``(key_id, body)`` rows into a table.
 
-    Each block is decrypted once, inside a generator that nothing above it can copy.
+    Each block is decrypted once, below a generator or a map that nothing above it can
+    copy or enter.
     """
     schema = payload.as_schema(schema)
-    text = unseal(F.col("body"), F.col("data_key"))
-    lines = keyring.attach(sealed).select(F.explode(F.split(text, "\n")).alias("line"))
+    keyed, body, key = keyring.attach(sealed), F.col("body"), F.col("data_key")
+    if codec is None:
+        lines = keyed.select(F.explode(F.split(unseal_text(body, key), "\n")).alias("line"))
+    else:
+        lines = unpack_lines(keyed.select(unseal(body, key).alias("block")), codec)
     return payload.decode(lines, schema, fmt or payload.pick_format(schema))
 
 
@@ -108,6 +117,7 @@ def read_table(
     layout: str = "line",
     fmt: str | None = None,
     partitions: int | None = None,
+    codec: str | None = None,
 ) -> DataFrame:
     """Read an encrypted or a plain table, whichever ``crypto_mode`` says."""
     if crypto_mode == PLAIN_TEXT:
@@ -118,4 +128,4 @@ def read_table(
         raise ValueError("an encrypted table needs a keyring")
     if layout == "file":
         return open_files(gathered(find_files(spark, path), partitions), keyring, schema)
-    return open_sealed(scan_sealed(spark, path, layout, partitions), keyring, schema, fmt)
+    return open_sealed(scan_sealed(spark, path, layout, partitions), keyring, schema, fmt, codec)

@@ -22,9 +22,15 @@ from sealtable.sources.blocks import BLOCK_BYTES, pack_lines
 FILE_BYTES = 64 * 1024 * 1024
 
 
-def seal_rows(df: DataFrame, keyring: Keyring, fmt: str | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def seal_rows(
+    df: DataFrame,
+    keyring: Keyring,
+    fmt: str | None = None,
+    block_bytes: int = BLOCK_BYTES,
+    codec: str | None = None,
+) -> DataFrame:
     """Any table as encrypted blocks ``(key_id, body)`` under the active key."""
-    blocks = pack_lines(payload.encode(df, fmt or payload.pick_format(df.schema)), block_bytes)
+    blocks = pack_lines(payload.encode(df, fmt or payload.pick_format(df.schema)), block_bytes, codec)
     return seal_blocks(blocks, keyring)
 
 
@@ -65,6 +71,7 @@ def write_table(
     have_partitions: int | None = None,
     save_mode: str = "errorifexists",
     block_bytes: int = BLOCK_BYTES,
+    codec: str | None = None,
 ) -> None:
     """Write ``df`` encrypted or plain, in ``partitions`` files when that is given."""
     if crypto_mode == PLAIN_TEXT:
@@ -78,7 +85,8 @@ def write_table(
         seal_files(df, keyring).write.mode(save_mode).parquet(path)
         return
     # Only ciphertext is exchanged when the number of files is fixed.
-    write_sealed(spread(seal_rows(df, keyring, fmt, block_bytes), partitions, have_partitions), path, layout, save_mode)
+    sealed = seal_rows(df, keyring, fmt, block_bytes, codec)
+    write_sealed(spread(sealed, partitions, have_partitions), path, layout, save_mode)
 
 
 def write_sealed(sealed: DataFrame, path: str, layout: str = "line", save_mode: str = "errorifexists") -> None:

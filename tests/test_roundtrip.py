@@ -24,13 +24,13 @@ def strings(n):
 
 
 @pytest.mark.parametrize("fmt", ["csv", "json"])
-@pytest.mark.parametrize("options", [{"layout": "line"}, {"layout": "parquet"}, {"block_bytes": 0}, {"block_bytes": 64}])
+@pytest.mark.parametrize("options", [{"layout": "line"}, {"layout": "parquet"}, {"block_bytes": 0}, {"block_bytes": 64}, {"codec": "zstd"}])
 def test_awkward_strings(spark, keyring, fmt, options):
     rows = [(i, s, s) for i, s in enumerate(strings(1500))]
     df = spark.createDataFrame(rows, "i int, s string, s2 string")
     path = work_path(spark, "awkward")
     write_table(df, path, keyring, fmt=fmt, **options)
-    back = read_table(spark, path, df.schema, keyring, layout=options.get("layout", "line"), fmt=fmt)
+    back = read_table(spark, path, df.schema, keyring, layout=options.get("layout", "line"), fmt=fmt, codec=options.get("codec"))
     assert sorted((tuple(r) for r in back.collect()), key=lambda r: r[0]) == rows
 
 
@@ -144,3 +144,29 @@ def test_types_of_schema_survive(spark, keyring):
     write_table(df, path, keyring)
     back = read_table(spark, path, df.schema, keyring)
     assert [f.dataType for f in back.schema] == [T.ShortType(), T.DecimalType(10, 2)]
+
+
+def test_wrong_codec_fails(spark, keyring):
+    df = spark.createDataFrame([("a",), ("b",)], "s string")
+    packed, plain = work_path(spark, "packed"), work_path(spark, "plain")
+    write_table(df, packed, keyring, codec="zstd")
+    write_table(df, plain, keyring)
+    with pytest.raises(Exception, match="codec='zstd'"):
+        read_table(spark, packed, df.schema, keyring).collect()
+    with pytest.raises(Exception, match="(?i)zstd"):
+        read_table(spark, plain, df.schema, keyring, codec="zstd").collect()
+    with pytest.raises(ValueError, match="codec"):
+        write_table(df, work_path(spark, "x"), keyring, codec="rar")
+
+
+def test_zstd_survives_rekeying(spark):
+    from sealtable.plans import jobs
+    from sealtable.plans.secure_queries import new_keyring
+
+    ring, df = new_keyring(spark), spark.range(5000).withColumn("s", F.lit("text"))
+    path, moved = work_path(spark, "a"), work_path(spark, "b")
+    write_table(df, path, ring, layout="parquet", codec="zstd")
+    ring = ring.add_key()
+    jobs.rekey_table(spark, path, moved, ring, layout="parquet")
+    back = read_table(spark, moved, df.schema, ring, layout="parquet", codec="zstd")
+    assert back.exceptAll(df).count() == 0 and back.count() == 5000
