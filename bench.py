@@ -56,6 +56,7 @@ def main() -> None:
 
     sealed = stored(lineitem, keyring)
     sealed_columnar = stored(lineitem, keyring, "parquet")
+    sealed_zstd = stored(lineitem, keyring, "parquet", codec="zstd")
     old_orders = stored(orders, keyring)
     rotated = keyring.add_key()
     mb = payload.encode(lineitem, "csv").agg(F.sum(F.octet_length("line") + 1)).first()[0] / 1e6
@@ -69,11 +70,15 @@ def main() -> None:
         "secure_filter_columnar": lambda: drain(
             read_table(spark, sealed_columnar, lineitem.schema, keyring, layout="parquet").where(keep)
         ),
+        "secure_filter_zstd": lambda: drain(
+            read_table(spark, sealed_zstd, lineitem.schema, keyring, layout="parquet", codec="zstd").where(keep)
+        ),
         "secure_query_to_ciphertext": lambda: jobs.query_table(
             spark, sealed, work_path(spark, "out"), keyring, lineitem.schema, keep=keep
         ),
         "secure_count": lambda: read_table(spark, sealed, lineitem.schema, keyring).agg(F.count_if(keep)).collect(),
         "encrypt": lambda: drain(seal_rows(lineitem, keyring)),
+        "encrypt_zstd": lambda: drain(seal_rows(lineitem, keyring, codec="zstd")),
         "encrypt_and_write": lambda: stored(lineitem, keyring),
         "decrypt": lambda: drain(read_table(spark, sealed, lineitem.schema, keyring)),
         "decrypt_to_csv": lambda: jobs.decrypt_table(

@@ -19,16 +19,17 @@ from sealtable.session import work_path
 def number_rows(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str = "row_no") -> DataFrame:
     """Add the 1-based place of each row within its group.
 
-    ``order`` should end in columns that make rows distinct: equal rows cannot be
-    split over partitions, and their mutual order would be open.
+    Rows equal in all ``order`` columns get places in no particular order; a running
+    id lets even these spread over partitions, so copies of one row may be many.
     """
     spark = df.sparkSession
     path = work_path(spark, "ordered")
-    keys = [F.col(c) for c in (*group, *order)]
+    keys = [*group, *order, "_tie"]
     (
-        df.repartitionByRange(*keys)
+        df.withColumn("_tie", F.monotonically_increasing_id())
+        .repartitionByRange(*keys)
         .sortWithinPartitions(*keys)
-        .select("*", F.spark_partition_id().alias("_slice"), F.monotonically_increasing_id().alias("_seq"))
+        .select(*df.columns, F.spark_partition_id().alias("_slice"), F.monotonically_increasing_id().alias("_seq"))
         # Written out, because range bounds are sampled anew on each evaluation.
         .write.parquet(path)
     )

@@ -15,8 +15,8 @@ from sealtable.operators.relational import count_matching, first_rows, young_dev
 from sealtable.plans import jobs, runs
 from sealtable.session import work_path
 from sealtable.sources.people import people_columns
-from sealtable.sources.readers import find_files, gathered, open_files, open_sealed, read_table, scan_sealed
-from sealtable.sources.writers import export_files, seal_files, write_table
+from sealtable.sources.readers import gathered, open_sealed, read_table, scan_sealed
+from sealtable.sources.writers import write_table
 
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
@@ -175,11 +175,9 @@ def file_layout(name: str):
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         df, keyring = table(spark, sf_dir, name), session_keyring(spark)
-        sealed, folder = work_path(spark, "files"), work_path(spark, "exchange")
-        seal_files(df, keyring).write.parquet(sealed)
-        export_files(spark.read.parquet(sealed), folder)
+        folder = stored(df, keyring, "file")
         write_table(df, f"{folder}/plain", crypto_mode=PLAIN_TEXT)
-        return open_files(find_files(spark, folder), keyring, df.schema)
+        return read_table(spark, folder, df.schema, keyring, layout="file")
 
     return query
 

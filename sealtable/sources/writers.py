@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from sealtable.functions import payload
 from sealtable.functions.cipher import AES_CBC, PLAIN_TEXT, encrypt_bytes, no_newlines, seal
 from sealtable.operators.keyring import Keyring
+from sealtable.session import work_path
 from sealtable.sources.blocks import BLOCK_BYTES, pack_lines
 
 FILE_BYTES = 64 * 1024 * 1024
@@ -82,7 +83,7 @@ def write_table(
     if keyring is None:
         raise ValueError("an encrypted table needs a keyring")
     if layout == "file":
-        seal_files(df, keyring).write.mode(save_mode).parquet(path)
+        write_files(spread(df, partitions, have_partitions), path, keyring, save_mode)
         return
     # Only ciphertext is exchanged when the number of files is fixed.
     sealed = seal_rows(df, keyring, fmt, block_bytes, codec)
@@ -135,6 +136,22 @@ def seal_files(df: DataFrame, keyring: Keyring, file_bytes: int = FILE_BYTES) ->
     )
 
 
+def write_files(
+    df: DataFrame, target: str, keyring: Keyring, save_mode: str = "errorifexists", file_bytes: int = FILE_BYTES
+) -> None:
+    """Write ``df`` as whole encrypted CSV files in ``target``."""
+    from pyarrow import fs
+
+    if save_mode != "errorifexists":
+        raise ValueError("files are only written to a new folder")
+    store, root = fs.FileSystem.from_uri(target)
+    if store.get_file_info(root).type != fs.FileType.NotFound:
+        raise FileExistsError(f"{target} exists already")
+    staged = work_path(df.sparkSession, "files")
+    seal_files(df, keyring, file_bytes).write.parquet(staged)
+    export_files(df.sparkSession.read.parquet(staged), target)
+
+
 def export_files(files: DataFrame, target: str) -> None:
     """Store ``(name, content)`` rows as files under ``target``, a folder all executors reach.
 

@@ -144,6 +144,16 @@ def test_file_layout(spark, keyring):
     assert one.count() == 1 and 0 < open_files(one, keyring, df.schema).count() < df.count()
 
 
+def test_file_layout_through_jobs(spark, keyring):
+    df = table(spark, SF, "part")
+    files, lines = work_path(spark, "files"), work_path(spark, "lines")
+    write_table(df, files, keyring, layout="file", partitions=2)
+    with pytest.raises(FileExistsError):
+        write_table(df, files, keyring, layout="file")
+    jobs.transcode(spark, files, lines, df.schema, AES_CBC, AES_CBC, keyring, input_layout="file")
+    assert sorted(read_table(spark, lines, df.schema, keyring).collect()) == sorted(df.collect())
+
+
 def test_file_layout_refuses_other_tables_and_line_breaks(spark, keyring):
     df = spark.createDataFrame([("a,b", 'q"')], "s string, t string")
     files = seal_files(df, keyring)

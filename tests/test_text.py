@@ -189,6 +189,16 @@ def test_number_rows_spreads_a_hot_group(spark, skewed):
     assert len(hot) >= 4 and max(r["count"] for r in hot) < 3000
 
 
+def test_number_rows_of_copies(spark):
+    """A third of all rows are copies of one row; every place is given once."""
+    df = spark.range(0, 9000, 1, 4).select(F.when(F.col("id") % 3 == 0, "same").otherwise(F.col("id").cast("string")).alias("s"))
+    got = number_rows(df, [], ["s"], "n").cache()
+    assert got.select("n").distinct().count() == 9000
+    assert got.agg(F.min("n"), F.max("n")).first() == (1, 9000)
+    same = got.where("s = 'same'")
+    assert same.count() == 3000 and same.agg(F.max("n") - F.min("n")).first()[0] == 2999
+
+
 def test_number_rows_over_everything(spark):
     df = spark.range(1000).withColumn("v", F.col("id") % 7)
     got = number_rows(df, [], ["v", "id"], "n").collect()
