@@ -170,3 +170,30 @@ def test_zstd_survives_rekeying(spark):
     jobs.rekey_table(spark, path, moved, ring, layout="parquet")
     back = read_table(spark, moved, df.schema, ring, layout="parquet", codec="zstd")
     assert back.exceptAll(df).count() == 0 and back.count() == 5000
+
+
+@pytest.mark.parametrize("fmt", ["csv", "json"])
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_values_over_the_whole_range(spark, fmt, zone):
+    """Instants and dates from BC to year 11000, doubles of every size, decimals down to 1e-18."""
+    bits = [F.xxhash64("id", F.lit(i)) for i in range(6)]
+    micros = [(b % F.lit(9 * 10**18) / 31).cast("bigint") for b in bits]
+    power = F.pow(F.lit(10.0), F.col("id") % 600 - 300)
+    df = spark.range(20_000).select(
+        "id",
+        F.timestamp_micros(micros[0]).alias("ts"),
+        F.timestamp_micros(micros[1]).cast("timestamp_ntz").alias("ntz"),
+        F.date_from_unix_date((bits[2] % 3_000_000).cast("int")).alias("day"),
+        (F.when(bits[3] % 3 == 0, 0).otherwise(bits[3] % 1000) * F.lit(Decimal("0.000000000000000001")))
+        .cast("decimal(38,18)")
+        .alias("dec"),
+        (bits[4].cast("double") * power).alias("dbl"),
+        (bits[5].cast("double") * F.pow(F.lit(10.0), F.col("id") % 70 - 50)).cast("float").alias("flt"),
+    )
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        back = decode(encode(df, fmt), df.schema, fmt)
+        assert back.exceptAll(df).count() == 0 and df.exceptAll(back).count() == 0
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
