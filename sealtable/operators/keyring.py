@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import secrets
 from dataclasses import dataclass, replace
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -117,7 +118,7 @@ class Keyring:
         fresh = _read_primary(self.spark, new_primary_path, self.provider, self.app_id)
         kept = self._ring().select("key_id", "provider", "app_id", "kcv", "created_at", "active")
         (
-            kept.join(self.keys(), "key_id")
+            kept.join(self.keys, "key_id")
             .join(fresh, ["provider", "app_id"])
             .withColumn("wrapped_key", encrypt_bytes(F.col("data_key"), F.col("primary_key")))
             .select(*_ring_columns())
@@ -128,8 +129,12 @@ class Keyring:
 
     # ---- using keys ----------------------------------------------------
 
+    @cached_property
     def keys(self) -> DataFrame:
-        """``(key_id, data_key)``, unwrapped inside the plan and checked against ``kcv``."""
+        """``(key_id, data_key)``, unwrapped inside the plan and checked against ``kcv``.
+
+        The plan is made once, over the key files that were there then.
+        """
         primary = _read_primary(self.spark, self.primary_path, self.provider, self.app_id)
         refused = F.raise_error(F.lit("key check value differs")).cast("binary")
         verified = bind(_unwrapped(), lambda k: F.when(check_value(k) == F.col("kcv"), k).otherwise(refused))
@@ -139,17 +144,17 @@ class Keyring:
 
     def active_key(self) -> Column:
         """The key for new data, as a one-value subquery, so that no join is needed to encrypt."""
-        key = self.keys().where(F.col("key_id") == self.active_id).select("data_key").scalar()
+        key = self.keys.where(F.col("key_id") == self.active_id).select("data_key").scalar()
         return F.coalesce(key, F.raise_error(F.lit("active data key is gone")).cast("binary"))
 
     def attach(self, sealed: DataFrame) -> DataFrame:
         """Add ``data_key`` to rows of ``(key_id, body)``; a key that is missing fails the job."""
         if self.n_keys <= self.broadcast_keys:
-            joined = sealed.join(F.broadcast(self.keys()), "key_id", "left")
+            joined = sealed.join(F.broadcast(self.keys), "key_id", "left")
         else:
             # Most rows may share one key, so the row's own bytes spread them.
             salted = sealed.withColumn("_salt", F.pmod(F.xxhash64("body"), F.lit(SALTS)))
-            copies = self.keys().withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+            copies = self.keys.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
             joined = salted.join(copies.hint("shuffle_hash"), ["key_id", "_salt"], "left").drop("_salt")
         missing = F.raise_error(F.concat(F.lit("no data key "), F.coalesce(F.col("key_id").cast("string"), F.lit("?"))))
         return joined.withColumn("data_key", F.coalesce("data_key", missing.cast("binary")))

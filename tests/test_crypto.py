@@ -79,14 +79,14 @@ def test_keys_appear_nowhere(spark, keyring, customer, sealed_customer):
     df = read_table(spark, sealed_customer, customer.schema, keyring).where("c_custkey < 10")
     assert df.count() == 10
     write_table(df, work_path(spark, "again"), keyring)
-    keys = [bytes(r.data_key) for r in keyring.keys().collect()]
+    keys = [bytes(r.data_key) for r in keyring.keys.collect()]
     keys += [bytes(r.primary_key) for r in spark.read.schema("primary_key binary").json(keyring.primary_path).collect()]
     folder = spark.sparkContext.getConf().get("spark.eventLog.dir").removeprefix("file://")
     log = b"".join(
         open(f, "rb").read() for f in glob.glob(f"{folder}/**", recursive=True) if os.path.isfile(f)
     )
     assert len(log) > 100_000
-    text = plan_of(df).encode() + log + plan_of(keyring.keys()).encode()
+    text = plan_of(df).encode() + log + plan_of(keyring.keys).encode()
     ring = b"".join(open(f, "rb").read() for f in glob.glob(f"{keyring.ring_path}/*.parquet"))
     for key in keys:
         assert key.hex().encode() not in text.lower()
@@ -178,7 +178,7 @@ def test_keyring_refuses_repeated_key_ids(spark):
 @pytest.mark.parametrize("size", [16, 24, 32])
 def test_key_sizes(spark, size):
     ring = Keyring.create(spark, work_path(spark, "p"), work_path(spark, "r"), "app", key_bytes=size)
-    assert len(ring.keys().first().data_key) == size
+    assert len(ring.keys.first().data_key) == size
     df = spark.createDataFrame([("x",)], "s string")
     assert read_table(spark, stored(df, ring), df.schema, ring).first().s == "x"
 
