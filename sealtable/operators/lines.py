@@ -70,6 +70,7 @@ def lines_after_marker(
     order: str = "line_no",
     column: str = "line",
     chunk_lines: int = CHUNK_LINES,
+    gapless: bool = True,
 ) -> DataFrame:
     """Lines that directly follow a marker line, for documents spread over many rows.
 
@@ -77,8 +78,13 @@ def lines_after_marker(
     taken.  Line ``i`` is taken exactly if an odd number of markers stands directly
     before it, that is, if ``i`` minus the last non-marker line before it is even.
     That last line is a running maximum, computed inside chunks of a document and
-    carried over from one summary row per chunk.  Line numbers must be gapless.
+    carried over from one summary row per chunk.  That needs line numbers without
+    gaps; where ``order`` has gaps, say so, and the lines are numbered first.
     """
+    if not gapless:
+        numbered = number_rows(lines, doc, [order], "_line")
+        taken = lines_after_marker(numbered, marker, doc, "_line", column, chunk_lines)
+        return taken.drop("_line")
     # As a struct, a null document id equals itself in joins too.
     keyed = lines.withColumn("_doc", F.struct(*doc)).withColumn(
         "_chunk", F.floor(F.col(order) / F.lit(chunk_lines)).cast("bigint")

@@ -384,7 +384,7 @@ ORACLES = {
     "people_count": _people_sql(select=f"count(*) filter (where {_YOUNG}) as n"),
     "people_generated": _PEOPLE_DRAWN,
     "people_generated_bounds": """
-        select count(*) as n, count(*) as named, 18 as youngest, 60 as oldest, 3 as jobs, 3 as shortest, 7 as longest
+        select count(*) as n, count(*) as named, 18 as youngest, 60 as oldest, cast(3 as bigint) as jobs, 3 as shortest, 7 as longest
         from orders""",
     "people_csv_line": _people_sql(select="name || ',' || age || ',' || job as line"),
     "first_customers": "select * from customer order by c_custkey limit 87",

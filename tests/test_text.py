@@ -136,6 +136,13 @@ def test_line_table_agrees_with_a_walk(spark, chunk_lines):
     assert sorted(map(str, ({(r.doc_id, r.line) for r in by_text.collect()}))) == sorted(map(str, {(d, x) for d, _, x in expected}))
 
 
+def test_line_table_with_gaps(spark):
+    rows = [(1, 10 * i, s) for i, s in enumerate(["M1", "M2", "M3", "x", "M4", "y", "M5"])]
+    df = spark.createDataFrame(rows, "doc_id int, line_no int, line string")
+    got = ln.lines_after_marker(df, "^M", chunk_lines=2, gapless=False)
+    assert {tuple(r) for r in got.collect()} == {(1, 10, "M2"), (1, 30, "x"), (1, 50, "y")}
+
+
 def test_last_value_per_key(spark):
     text = {1: "size 1\nkind a\nsize 2\n size  3 x", 2: "other 1", 3: "kind", None: "kind z"}
     rows = [(d, i, s) for d, t in text.items() for i, s in enumerate(t.split("\n"))]
