@@ -165,7 +165,7 @@ def joined_items(
         numbered = number_rows(rows, group, [item, *tie_break], "_pos")
         parts = numbered.withColumn("part_no", F.floor((F.col("_pos") - 1) / max_items).cast("bigint"))
         place = ["_pos"]
-    listed = F.array_sort(F.collect_list(F.struct(*place, F.col(item).alias("_item"))))
+    listed = F.sort_array(F.collect_list(F.struct(*place, F.col(item).alias("_item"))))
 
     def shown(entry: Column) -> Column:
         return entry["_item"] if rewrite is None else F.replace(entry["_item"], F.lit(rewrite[0]), F.lit(rewrite[1]))

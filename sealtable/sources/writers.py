@@ -126,7 +126,7 @@ def seal_files(df: DataFrame, keyring: Keyring, file_bytes: int = FILE_BYTES) ->
     running = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum(F.octet_length("line") + 1).over(running), F.lit(0))
     numbered = lines.withColumn("chunk", F.floor(before / F.lit(file_bytes)))
-    rows = F.transform(F.array_sort(F.collect_list(F.struct("seq", "line"))), lambda r: r["line"])
+    rows = F.transform(F.sort_array(F.collect_list(F.struct("seq", "line"))), lambda r: r["line"])
     body = F.concat(F.lit(payload.csv_header(df.schema) + "\n"), F.array_join(rows, "\n"), F.lit("\n"))
     name = F.format_string("part-%05d-%05d.csv.cbc", F.col("part"), F.col("chunk"))
     return (
