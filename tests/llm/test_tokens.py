@@ -1,0 +1,93 @@
+"""Operators 5 and 8 against the libraries that define their results."""
+
+import hashlib
+import random
+
+import numpy as np
+import pytest
+import public_tokenizers
+import regex
+import tiktoken
+import tokenizers
+
+from sealtable.llm import bpe, common, counting, pretokens
+
+ODD = [
+    None, "", "'", "''s", "'re x'r'v'l", "a'll 're'll'xx 'x", "  a   b\n\n c \t d\t\te  ", "1²½Ⅷ 一二 ñandú'S 's",
+    "a" * 30000, " " * 5000, " \u0085x\x1c y\x1d\x1e", "😀😀 ok" * 50, "　　漢字", "-" * 257 + "=" * 90,
+    "x<|endoftext|>y<|endoftext|>", "<|endoftext|>", "ends in 'r", "ends in 'v\n", "\x00\x00 \x00",
+]
+
+
+def texts():
+    rng = random.Random(5)
+    signs = "a'sretvlmd  \n\t1.é!²漢 <|>"
+    return ODD + ["".join(rng.choice(signs) for _ in range(rng.randrange(1, 1400))) for _ in range(150)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, "clash", "clash") for i, t in enumerate(texts())]
+    rows += [(3, "''s", "x", "y"), (None, "no id", "x", "y")]
+    return spark.createDataFrame(rows, "doc_id long, text string, ids string, n_tokens string")
+
+
+def test_split_equals_the_pattern():
+    for t in texts():
+        assert pretokens.split(t or "") == regex.findall(public_tokenizers.PATTERN, t or "")
+
+
+def test_encoding_equals_tiktoken(docs):
+    library = tiktoken.Encoding(
+        "own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=pretokens.ranks_of(bpe.RANKS), special_tokens={}
+    )
+    for row in bpe.digests(bpe.decode_ids(bpe.encode_texts(docs))).collect():
+        text = "no id" if row.doc_id is None else texts()[row.doc_id] or ""
+        ids = np.array(library.encode_ordinary(text), "<u4")
+        assert row.n_tokens == len(ids)
+        assert row.ids_sha256 == hashlib.sha256(ids.tobytes()).hexdigest()
+        assert row.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+    assert docs.count() == bpe.encode_texts(docs).count()
+
+
+def test_lower_rank_after_a_merge_goes_first():
+    """abc outranks ab, which is merged before it can appear."""
+    codec = bpe.Encoder.__new__(bpe.Encoder)
+    codec.ranks = {bytes([b]): 1000 + b for b in range(256)} | {b"ab": 40, b"abc": 30, b"cab": 20}
+    assert codec.pieces([b"abcabcab"]) == [[30, 30, 40]]
+
+
+def test_counts_equal_the_library(docs):
+    library = tokenizers.Tokenizer.from_file(counting.VOCABULARY)
+    for row in counting.token_counts(docs).collect():
+        text = "no id" if row.id is None else texts()[row.id] or ""
+        assert row.n_tokens == len(library.encode(text, add_special_tokens=False).ids), text[:80]
+        assert row.n_bytes == len(text.encode())
+
+
+@pytest.mark.parametrize("chunk", [1, 2, 3, 7, 64])
+def test_chunk_maps_compose(monkeypatch, chunk):
+    """Marks do not depend on where the buffer is cut."""
+    for t in texts()[1:60]:
+        points = np.frombuffer(((t or "") + "\n").encode("utf-32-le"), np.uint32)[:600]
+        classes = counting._classes()[points].copy()
+        classes[-1] = counting.END
+        want = counting.starts(classes)
+        with monkeypatch.context() as m:
+            m.setattr(counting, "CHUNK", chunk)
+            assert (counting.starts(classes) == want).all()
+
+
+def test_empty_table(spark):
+    none = spark.createDataFrame([], "doc_id long, text string")
+    assert bpe.digests(bpe.decode_ids(bpe.encode_texts(none))).count() == 0
+    assert counting.token_counts(none).count() == 0
+
+
+def test_given_documents(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    docs = {r.doc_id: r.text or "" for r in common.table(spark, sf_dir, "documents").collect()}
+    library = tokenizers.Tokenizer.from_file(counting.VOCABULARY)
+    for row in counting.op8_token_counts(spark, sf_dir).collect():
+        n = len(library.encode(docs[row.doc_id], add_special_tokens=False).ids)
+        assert (row.n_tokens, row.over_limit) == (n, n > 1024)
