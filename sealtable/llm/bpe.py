@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import sha256
 from struct import pack
 
 import pyarrow as pa
@@ -27,7 +28,7 @@ from sealtable.llm import common, pretokens
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 _BIT = [1 << k for k in range(1 << 12)]
 # Encoded pre-tokens a worker remembers; it starts afresh beyond this number.
-MEMO = 800_000
+MEMO = 400_000
 # Longer pre-tokens are not worth remembering.
 MEMO_BYTES = 64
 
@@ -219,6 +220,31 @@ def _parts(batch: pa.RecordBatch, rows: int = 500) -> Iterator[pa.RecordBatch]:
         yield batch.slice(first, rows)
 
 
+def round_trip(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = RANKS) -> DataFrame:
+    """``(id, n_tokens, ids_sha256, decoded_sha256)`` per row: ``encode_texts``,
+    ``decode_ids`` and ``digests`` in one worker, which then passes on digests only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = encoder(path)
+        names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
+        for batch in batches:
+            for part in _parts(batch, 200):
+                ids = codec.encode([t or "" for t in part.column(1).to_pylist()])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column(0),
+                        pa.array([len(x) // 4 for x in ids], pa.int64()),
+                        pa.array([sha256(x).hexdigest() for x in ids], pa.string()),
+                        pa.array([sha256(codec.decode(x)).hexdigest() for x in ids], pa.string()),
+                    ],
+                    names,
+                )
+
+    source = texts.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    kind = texts.schema[id_col].dataType.simpleString()
+    return source.mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
 def digests(decoded: DataFrame) -> DataFrame:
     """Token count and digests of what ``decode_ids`` returns."""
     return decoded.select(
@@ -231,6 +257,6 @@ def digests(decoded: DataFrame) -> DataFrame:
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text encoded and decoded again."""
-    return digests(decode_ids(encode_texts(common.table(spark, sf_dir, "documents"))))
+    return round_trip(common.table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
