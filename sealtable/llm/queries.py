@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from sealtable.llm import bpe, counting
+from sealtable.llm import bpe, counting, fingerprints, packing
 
 QUERIES = {
     "op5_byte_bpe": bpe.op5_byte_bpe,
+    "op7_fingerprints": fingerprints.op7_fingerprints,
     "op8_token_counts": counting.op8_token_counts,
+    "op10_packing": packing.op10_packing,
 }
 
 ORACLES: dict[str, str] = {}
