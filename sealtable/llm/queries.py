@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from sealtable.llm import bpe, counting, fingerprints, packing
+from sealtable.llm import bpe, counting, fingerprints, jaccard, packing, substrings
 
 QUERIES = {
+    "op2_substring_dedup": substrings.op2_substring_dedup,
+    "op3_jaccard_join": jaccard.op3_jaccard_join,
     "op5_byte_bpe": bpe.op5_byte_bpe,
     "op7_fingerprints": fingerprints.op7_fingerprints,
     "op8_token_counts": counting.op8_token_counts,
     "op10_packing": packing.op10_packing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op3_jaccard_join": jaccard.ORACLE,
+}
