@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sealtable.llm import bpe, counting, fingerprints, jaccard, packing, substrings
+from sealtable.llm import bpe, counting, fingerprints, jaccard, packing, shards, substrings
 
 QUERIES = {
     "op2_substring_dedup": substrings.op2_substring_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_byte_bpe": bpe.op5_byte_bpe,
     "op7_fingerprints": fingerprints.op7_fingerprints,
     "op8_token_counts": counting.op8_token_counts,
+    "op9_training_order": shards.op9_training_order,
     "op10_packing": packing.op10_packing,
 }
 
