@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from sealtable.llm import bpe, counting, fingerprints, jaccard, packing, shards, substrings
+from sealtable.llm import bpe, counting, fingerprints, jaccard, packing, shards, substrings, toxicity
 
 QUERIES = {
     "op2_substring_dedup": substrings.op2_substring_dedup,
     "op3_jaccard_join": jaccard.op3_jaccard_join,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op5_byte_bpe": bpe.op5_byte_bpe,
     "op7_fingerprints": fingerprints.op7_fingerprints,
     "op8_token_counts": counting.op8_token_counts,
