@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from sealtable.llm import bpe, counting, fingerprints, jaccard, packing, shards, substrings, toxicity
+from sealtable.llm import bpe, counting, fingerprints, jaccard, packing, shards, substrings, toxicity, vectors
 
 QUERIES = {
     "op2_substring_dedup": substrings.op2_substring_dedup,
     "op3_jaccard_join": jaccard.op3_jaccard_join,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_byte_bpe": bpe.op5_byte_bpe,
+    "op6_near_vectors": vectors.op6_near_vectors,
     "op7_fingerprints": fingerprints.op7_fingerprints,
     "op8_token_counts": counting.op8_token_counts,
     "op9_training_order": shards.op9_training_order,
