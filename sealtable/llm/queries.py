@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from sealtable.llm import bpe, counting, fingerprints, jaccard, packing, shards, substrings, toxicity, vectors
+from sealtable.llm import archives, bpe, counting, fingerprints, jaccard, packing, shards, substrings, toxicity, vectors
 
 QUERIES = {
+    "op1_warc": archives.op1_warc,
     "op2_substring_dedup": substrings.op2_substring_dedup,
     "op3_jaccard_join": jaccard.op3_jaccard_join,
     "op4_toxicity": toxicity.op4_toxicity,
@@ -17,5 +18,6 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_warc": archives.ORACLE,
     "op3_jaccard_join": jaccard.ORACLE,
 }
