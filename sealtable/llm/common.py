@@ -29,7 +29,17 @@ def collect_rarely() -> None:
     gc.set_threshold(200_000, 20, 100)
 
 
+# Bytes that go to a Python worker at once, unless the session asks for less.  Spark's 64 MB
+# are held several times over: as Arrow buffers in the JVM, in the pipe and in the worker.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
