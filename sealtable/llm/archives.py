@@ -152,8 +152,8 @@ def parse_arc(raw: bytes, version: int | None = None) -> Iterator[dict]:
 
 
 def iso_date(digits: str) -> str:
-    """A WARC date from 8, 10, 12 or 14 digits; what is missing is the start."""
-    full = (digits + "01010000000000"[len(digits) :])[:14] if len(digits) < 8 else (digits + "000000")[:14]
+    """A WARC date from 4 to 14 digits; what is missing is the start of the period."""
+    full = digits + "00000101000000"[len(digits) :]
     return f"{full[:4]}-{full[4:6]}-{full[6:8]}T{full[8:10]}:{full[10:12]}:{full[12:14]}Z"
 
 
