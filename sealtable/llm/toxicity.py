@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from sealtable.llm import common
 
 TRAIN_ROWS, MODEL_UNITS = 20_000, 50_000
-PREFIX, PRIOR, MIN_Z, DRIFT, MAX_E = 5, 0.05, 3.0, 1.0, 0.01
+PREFIX, PRIOR, MIN_Z, DRIFT, MAX_E = 5, 0.05, 2.3, 1.0, 0.01
 THRESHOLD = 0.7
 MEMO = 300_000
 _words = re.compile(r"\w+").findall

@@ -1,0 +1,110 @@
+"""Operator 4: all maximal segments, calibration, held-out accuracy."""
+
+import zlib
+
+import numpy as np
+import pytest
+
+from sealtable.llm import common, toxicity as tox
+
+
+def brute_segments(s):
+    """By definition: repeatedly the best segment, then left and right of it (Ruzzo, Tompa)."""
+    out = []
+
+    def go(a, b):
+        best = None
+        for i in range(a, b):
+            total = 0.0
+            for j in range(i, b):
+                total += s[j]
+                if total > 1e-12 and (best is None or total > best[2] + 1e-9):
+                    best = (i, j + 1, total)
+        if best:
+            go(a, best[0])
+            out.append(best)
+            go(best[1], b)
+
+    go(0, len(s))
+    return out
+
+
+def test_segments_are_all_maximal_ones():
+    rng = np.random.default_rng(1)
+    for _ in range(300):
+        s = rng.normal(-0.3, 1.0, rng.integers(0, 40))
+        got, want = tox.segments(s), brute_segments(s.tolist())
+        assert [x[:2] for x in got] == [x[:2] for x in want]
+        assert np.allclose([x[2] for x in got], [x[2] for x in want])
+    assert tox.segments(np.array([])) == [] and tox.segments(np.full(5, -1.0)) == []
+
+
+def test_scan_is_linear():
+    """A falling staircase of peaks, on which a search without the chain is quadratic."""
+    s = np.tile([2.0, -2.1], 200_000)
+    assert len(tox.segments(s)) == 200_000
+
+
+def test_lambda_solves_its_equation():
+    p, s = np.array([0.05, 0.95]), np.array([2.0, -1.0])
+    assert abs(float((p * np.exp(tox._root(p, s) * s)).sum()) - 1) < 1e-6
+
+
+def auc(y, s):
+    order = np.argsort(s, kind="stable")
+    rank = np.empty(len(s))
+    rank[order] = np.arange(1, len(s) + 1)
+    for v in np.unique(s):
+        rank[s == v] = rank[s == v].mean()
+    n1 = y.sum()
+    return (rank[y == 1].sum() - n1 * (n1 + 1) / 2) / (n1 * (len(y) - n1))
+
+
+@pytest.fixture(scope="module")
+def scored(spark):
+    sf_dir = "/root/testdata/sf0.1"
+    rows = tox.op4_toxicity(spark, sf_dir).collect()
+    labels = {r.doc_id: r.toxic for r in common.table(spark, sf_dir, "labels").collect()}
+    return rows, labels
+
+
+def test_held_out_accuracy(scored):
+    rows, labels = scored
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in rows)
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in rows)
+    held = [(labels[r.doc_id], r.score, r.predicted) for r in rows if r.held_out and r.doc_id in labels]
+    y, s, p = map(np.array, zip(*held))
+    # One toxic label in twelve here is on a document without any toxic word.
+    assert auc(y, s) > 0.95
+    assert (p[y == 1] == 1).mean() > 0.85 and (p[y == 0] == 1).mean() < 0.01
+
+
+def test_held_out_labels_are_not_learnt(spark):
+    """Turning every held-out label around changes nothing."""
+    docs = common.table(spark, "/root/testdata/sf0.01", "documents")
+    labels = common.table(spark, "/root/testdata/sf0.01", "labels").select("doc_id", "toxic")
+    turned = labels.withColumn("toxic", tox.F.when(tox.is_held_out(), 1 - labels.toxic).otherwise(labels.toxic))
+    a, b = tox.fit(docs, labels), tox.fit(docs, turned)
+    assert (a.weights, a.lam, a.log_k, a.slope, a.bias) == (b.weights, b.lam, b.log_k, b.slope, b.bias)
+
+
+def test_edge_rows(spark):
+    clean = [(i, f"plain words number {i} and more of them", 0) for i in range(40)]
+    toxic = [(100 + i, f"plain words vile rotten vile number {i}", 1) for i in range(40)]
+    rows = clean + toxic
+    docs = spark.createDataFrame([(i, t, "x") for i, t, _ in rows], "doc_id long, text string, score string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(999, 1), (5, None), (None, 1)], "doc_id long, toxic int")
+    model = tox.fit(docs, labels)
+    odd = [(1, None), (2, ""), (3, " \n!"), (None, "vile rotten vile"), (5, "vile rotten"), (5, "vile rotten"),
+           (6, "plain " * 50_000 + "vile rotten vile rotten " * 5)]
+    got = tox.toxic_passages(spark.createDataFrame(odd, "doc_id long, text string"), model).collect()
+    by = {r.id: r for r in got}
+    assert len(got) == len(odd) and by[1].score == by[2].score == by[3].score < 0.5
+    assert by[None].score > 0.7 and by[6].score > 0.7
+    assert any(p.first >= 50_000 for p in by[6].passages)
+    kept = tox.without_toxic(docs, model).collect()
+    assert {r.doc_id for r in kept} == set(range(40)) and kept[0].score == "x"
+    none = docs.limit(0)
+    assert tox.toxic_passages(none, tox.fit(none, labels.limit(0))).count() == 0
+    only = tox.fit(docs, labels.where("toxic = 0"))
+    assert tox.toxic_passages(docs, only).agg({"score": "max"}).first()[0] < 0.01
