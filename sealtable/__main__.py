@@ -64,6 +64,7 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("--outputLayout", default="line", choices=["line", "parquet", "file"])
         p.add_argument("--schema", default=PEOPLE_SCHEMA, help="column names and types, as in a table definition")
         p.add_argument("--codec", choices=["zstd"], help="compression inside encrypted blocks")
+        p.add_argument("--multiLine", action="store_true", help="values of plain files may have line breaks")
         p.add_argument("--runLog", help="folder of the run log; one row is added")
         if name == "query":
             p.add_argument("--where", help="SQL condition; default: developers aged 20 to 40")
@@ -98,7 +99,7 @@ def with_keys(spark: SparkSession, args: argparse.Namespace) -> None:
         raise ValueError("input and output must be different folders")
     rows = read_table(
         spark, args.inputPath, args.schema, keyring, args.inputEncryptModeValue, args.inputLayout,
-        partitions=args.inputPartitionNum, codec=args.codec,
+        partitions=args.inputPartitionNum, codec=args.codec, multi_line=args.multiLine,
     )
     if args.command == "query":
         rows = rows.where(F.expr(args.where) if args.where else young_developers())
@@ -107,6 +108,7 @@ def with_keys(spark: SparkSession, args: argparse.Namespace) -> None:
         write_table(
             df, args.outputPath, keyring, args.outputEncryptModeValue, args.outputLayout,
             partitions=args.outputPartitionNum, have_partitions=args.inputPartitionNum, codec=args.codec,
+            multi_line=args.multiLine,
         )
 
     if args.runLog:

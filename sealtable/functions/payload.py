@@ -87,7 +87,7 @@ def _unescaped(text: Column) -> Column:
 
 
 def _refused(bad: Column, text: Column) -> Column:
-    return F.when(bad, F.raise_error(F.lit("string not representable in plain CSV")).cast("string")).otherwise(text)
+    return F.when(bad, F.raise_error(F.lit("string not representable in plain CSV; line breaks need multi_line")).cast("string")).otherwise(text)
 
 
 def _representable(text: Column) -> Column:
@@ -95,11 +95,16 @@ def _representable(text: Column) -> Column:
     return _refused((text == NULL_MARK) | unsafe[0] | unsafe[1] | unsafe[2], text)
 
 
-def plain_strings(df: DataFrame) -> DataFrame:
-    """``df``, failing on a string that Spark's CSV reader would take for null."""
+def plain_strings(df: DataFrame, multi_line: bool = False) -> DataFrame:
+    """``df``, failing on a string that Spark's CSV reader would take for null, and on a
+    line break unless the file is going to be read with ``multi_line``."""
+
+    def bad(text: Column) -> Column:
+        return (text == NULL_MARK) if multi_line else (text == NULL_MARK) | text.rlike("[\\n\\r]")
+
     return df.select(
         *[
-            _refused(column(f.name) == NULL_MARK, column(f.name)).alias(f.name)
+            _refused(bad(column(f.name)), column(f.name)).alias(f.name)
             if isinstance(f.dataType, T.StringType)
             else column(f.name)
             for f in df.schema

@@ -112,10 +112,34 @@ def route(value: Column, classes: Mapping[str, Sequence[str]], default: str) ->
 
 
 def numeric_part(line: Column, delimiter: str, n: int) -> Column:
-    """Leading number of the n-th delimited part; 0 when there is none."""
+    """Leading number of the n-th delimited part, as a value that sorts like it.
+
+    The number may have any number of digits: the result is a struct of its sign, the
+    length of its whole part, its whole digits and its decimals, without outer zeros.
+    For a negative number length and digits are turned around, and the decimals end in
+    a sign above all digits, so that the larger magnitude comes first.  Zero, and a part
+    without a number, have sign 0.
+    """
     part = F.split_part(line, F.lit(delimiter), F.lit(n))
-    number = F.regexp_extract(part, r"^[ \t]*(-?[0-9]*\.?[0-9]*)", 1)
-    return F.coalesce(number.try_cast("decimal(38,10)"), F.lit(0).cast("decimal(38,10)"))
+    sign = F.regexp_extract(part, r"^[ \t]*(-?)", 1)
+    whole = F.regexp_extract(part, r"^[ \t]*-?0*([0-9]*)", 1)
+    decimals = F.regexp_replace(F.regexp_extract(part, r"^[ \t]*-?[0-9]*\.([0-9]*)", 1), "0+$", "")
+    zero = (whole == "") & (decimals == "")
+    digits, turned = "0123456789", "9876543210"
+    size = F.length(whole)
+    number = F.when(
+        sign == "-",
+        F.struct(
+            F.lit(-1).alias("sign"),
+            (-size).alias("size"),
+            F.translate(whole, digits, turned).alias("whole"),
+            F.concat(F.translate(decimals, digits, turned), F.lit("~")).alias("decimals"),
+        ),
+    ).otherwise(F.struct(F.lit(1).alias("sign"), size.alias("size"), whole.alias("whole"), decimals.alias("decimals")))
+    none = F.struct(
+        F.lit(0).alias("sign"), F.lit(0).alias("size"), F.lit("").alias("whole"), F.lit("").alias("decimals")
+    )
+    return F.when(F.coalesce(zero, F.lit(True)), none).otherwise(number)
 
 
 def lines_after(text: Column, marker: str) -> Column:

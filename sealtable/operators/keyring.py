@@ -52,11 +52,13 @@ class Keyring:
         app_id: str,
         provider: str = "local",
         key_bytes: int = 32,
+        shared: bool = False,
     ) -> Keyring:
-        """Write a new primary key and a keyring holding one data key under it."""
+        """Write a new primary key and a keyring holding one data key under it.  With
+        ``shared`` the ring may exist and hold the keys of other applications."""
         _write_primary(spark, primary_path, provider, app_id)
         primary = _read_primary(spark, primary_path, provider, app_id)
-        _append_key(spark, primary, ring_path, 1, provider, app_id, key_bytes, mode="errorifexists")
+        _append_key(spark, primary, ring_path, 1, provider, app_id, key_bytes, "append" if shared else "errorifexists")
         return cls.open(spark, primary_path, ring_path, app_id, provider)
 
     @classmethod
@@ -93,17 +95,26 @@ class Keyring:
         if found.n == 0 or found.active_id is None:
             raise ValueError(f"no usable data key for {provider}/{app_id} in {ring_path}")
         if found.ids != found.n:
-            raise ValueError(f"key ids repeat in {ring_path}, or the primary key does in {primary_path}")
+            ring = _own_rows(spark.read.schema(RING_SCHEMA).parquet(ring_path), provider, app_id)
+            twice = ring.groupBy("key_id").count().where("count > 1").orderBy("key_id").limit(10)
+            ids = ", ".join(str(r.key_id) for r in twice.collect())
+            raise ValueError(f"key ids repeat in {ring_path} ({ids}), or the primary key does in {primary_path}")
         if found.refused:
             raise ValueError(f"primary key does not open {found.refused} of {found.n} data keys")
         return cls(spark, primary_path, ring_path, provider, app_id, found.n, found.active_id, broadcast_keys)
 
     def add_key(self, key_bytes: int = 32) -> Keyring:
-        """Append a data key; it becomes the active one, older ones keep opening old data."""
-        top = self._ring().agg(F.max("key_id")).first()[0]
+        """Append a data key; it becomes the active one, older ones keep opening old data.
+
+        Its id is drawn at random, so that two writers who add keys at once do not make
+        the same one.
+        """
+        taken = {self.active_id, 1}
+        while (new := secrets.randbelow((1 << 31) - 2) + 1) in taken:
+            pass
         primary = _read_primary(self.spark, self.primary_path, self.provider, self.app_id)
         _append_key(
-            self.spark, primary, self.ring_path, top + 1, self.provider, self.app_id, key_bytes, mode="append"
+            self.spark, primary, self.ring_path, new, self.provider, self.app_id, key_bytes, mode="append"
         )
         return self.reopened()
 

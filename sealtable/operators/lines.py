@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,7 +13,6 @@ from sealtable.operators.ranking import number_rows
 
 # Rows of one document that a single task may have to look at together.
 CHUNK_LINES = 65_536
-GROUP_ITEMS = 10_000
 
 
 def split_lines(df: DataFrame, text: str, *keep: str) -> DataFrame:
@@ -43,9 +42,9 @@ def last_value_per_key(
 ) -> DataFrame:
     """One row per document, one column per rule: the value on the last line whose key matches.
 
-    By default the key is the first field of a line and the value the second.
-    Aggregating text means sorting it, so only matching lines are aggregated, in part
-    before the shuffle; documents without a match come from a plain distinct.
+    By default the key is the first field of a line and the value the second.  The
+    lines are read once, so a sealed table is decrypted once, and aggregated in part
+    before the shuffle; a document without a match has no last value.
     """
     line = F.col("line")
     key = tx.field(line, 1) if key is None else key
@@ -53,14 +52,9 @@ def last_value_per_key(
     doc_id = F.struct(*doc).alias("_doc")  # a null id equals itself in this form
     keyed = lines.select(doc_id, key.alias("_key"), value.alias("_value"), F.col(order).alias("_at"))
     hit = [F.col("_key").rlike(pattern) for pattern in rules.values()]
-    last = [F.max_by("_value", F.when(h, F.col("_at"))).alias(name) for name, h in zip(rules, hit, strict=True)]
-    found = keyed.where(reduce(lambda a, b: a | b, hit)).groupBy("_doc").agg(*last)
-    return (
-        lines.select(doc_id)
-        .distinct()
-        .join(found, "_doc", "left")
-        .select("_doc.*", *[F.coalesce(F.col(name), F.lit("")).alias(name) for name in rules])
-    )
+    last = [F.max(F.when(h, F.struct("_at", "_value"))).alias(name) for name, h in zip(rules, hit, strict=True)]
+    found = keyed.groupBy("_doc").agg(*last)
+    return found.select("_doc.*", *[F.coalesce(F.col(name)["_value"], F.lit("")).alias(name) for name in rules])
 
 
 def lines_after_marker(
@@ -70,45 +64,46 @@ def lines_after_marker(
     order: str = "line_no",
     column: str = "line",
     chunk_lines: int = CHUNK_LINES,
-    gapless: bool = True,
 ) -> DataFrame:
     """Lines that directly follow a marker line, for documents spread over many rows.
 
     A taken line is consumed, so in a run of adjacent markers every second line is
-    taken.  Line ``i`` is taken exactly if an odd number of markers stands directly
-    before it, that is, if ``i`` minus the last non-marker line before it is even.
-    That last line is a running maximum, computed inside chunks of a document and
-    carried over from one summary row per chunk.  That needs line numbers without
-    gaps; where ``order`` has gaps, say so, and the lines are numbered first.
+    taken.  A line is taken exactly if an odd number of markers stands directly before
+    it.  Places are counted, not read off ``order``, which may have gaps.  Documents are
+    cut into chunks; inside one, markers before a line follow from its place and that of
+    the last other line above, and one summary row per chunk (its lines, and the place of
+    its last other line) carries the count into the next.  The numbered lines are read
+    for both, so they are persisted on disk, encrypted like shuffle files; the source is
+    read and decrypted once.
     """
-    if not gapless:
-        numbered = number_rows(lines, doc, [order], "_line")
-        taken = lines_after_marker(numbered, marker, doc, "_line", column, chunk_lines)
-        return taken.drop("_line")
     # As a struct, a null document id equals itself in joins too.
     keyed = lines.withColumn("_doc", F.struct(*doc)).withColumn(
         "_chunk", F.floor(F.col(order) / F.lit(chunk_lines)).cast("bigint")
     )
+    inside = Window.partitionBy("_doc", "_chunk").orderBy(order)
+    above = inside.rowsBetween(Window.unboundedPreceding, -1)
     is_marker = F.coalesce(F.col(column).rlike(marker), F.lit(False))
-    other_at = F.when(~is_marker, F.col(order))
-
-    chunks = keyed.groupBy("_doc", "_chunk").agg(F.max(other_at).alias("_last_other"), F.min(order).alias("_first"))
-    whole = Window.partitionBy("_doc")
-    earlier = whole.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carried = F.coalesce(F.max("_last_other").over(earlier), F.min("_first").over(whole) - 1)
-    # The first chunk of a document needs nothing carried, so only long documents remain.
-    carries = (
-        chunks.select("_doc", "_chunk", carried.alias("_carried"), F.min("_chunk").over(whole).alias("_start"))
-        .where("_chunk > _start")
-        .drop("_start")
+    placed = (
+        keyed.withColumn("_other", ~is_marker)
+        .withColumn("_place", F.row_number().over(inside))
+        .withColumn("_above", F.max(F.when(F.col("_other"), F.col("_place"))).over(above))
+        .persist(StorageLevel.DISK_ONLY)
     )
 
-    inside = Window.partitionBy("_doc", "_chunk")
-    above = inside.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    last_other = F.coalesce(F.max(other_at).over(above), F.col("_carried"), F.min(order).over(inside) - 1)
-    markers_before = F.col(order) - last_other - 1
+    chunks = placed.groupBy("_doc", "_chunk").agg(
+        F.count("*").alias("_lines"), F.max(F.when(F.col("_other"), F.col("_place"))).alias("_last")
+    )
+    earlier = Window.partitionBy("_doc").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    counted = chunks.withColumn("_base", F.coalesce(F.sum("_lines").over(earlier), F.lit(0)))
+    # Markers at the end of what lies before a chunk; the first chunk has none before it.
+    ending = F.col("_base") - F.coalesce(F.max(F.col("_base") + F.col("_last")).over(earlier), F.lit(0))
+    carries = counted.withColumn("_carried", ending).where("_carried > 0").select("_doc", "_chunk", "_carried")
+
+    markers_before = F.when(F.col("_above").isNotNull(), F.col("_place") - F.col("_above") - 1).otherwise(
+        F.col("_place") - 1 + F.coalesce("_carried", F.lit(0))
+    )
     return (
-        keyed.join(carries, ["_doc", "_chunk"], "left")
+        placed.join(carries, ["_doc", "_chunk"], "left")
         .withColumn("_taken", markers_before % 2 == 1)
         .where("_taken")
         .select(*lines.columns)
@@ -146,26 +141,20 @@ def joined_items(
     tie_break: Sequence[str] = (),
     rewrite: tuple[str, str] | None = None,
     sep: str = ",",
-    max_items: int = GROUP_ITEMS,
+    *,
+    max_items: int,
 ) -> DataFrame:
     """The items of each group, in order, as one string ``items`` per ``part_no``.
 
     A group of up to ``max_items`` gives a single part 0.  Larger groups continue in
-    parts 1, 2, ...; joining the parts with ``sep`` gives the whole.  The largest
-    group is counted first: only if it exceeds the bound are rows numbered by a range
-    shuffle, otherwise one aggregate is enough.
+    parts 1, 2, ...; joining the parts with ``sep`` gives the whole.  All sizes have the
+    same plan: rows are numbered by a range shuffle, and a part is one task's at most.
     """
     group = list(group)
     rows = df.select(*group, item, *tie_break).where(F.col(item).isNotNull())
-    largest = rows.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
-    if largest <= max_items:
-        parts = rows.withColumn("part_no", F.lit(0).cast("bigint"))
-        place = [item, *tie_break]
-    else:
-        numbered = number_rows(rows, group, [item, *tie_break], "_pos")
-        parts = numbered.withColumn("part_no", F.floor((F.col("_pos") - 1) / max_items).cast("bigint"))
-        place = ["_pos"]
-    listed = F.sort_array(F.collect_list(F.struct(*place, F.col(item).alias("_item"))))
+    numbered = number_rows(rows, group, [item, *tie_break], "_pos")
+    parts = numbered.withColumn("part_no", F.floor((F.col("_pos") - 1) / max_items).cast("bigint"))
+    listed = F.sort_array(F.collect_list(F.struct("_pos", F.col(item).alias("_item"))))
 
     def shown(entry: Column) -> Column:
         return entry["_item"] if rewrite is None else F.replace(entry["_item"], F.lit(rewrite[0]), F.lit(rewrite[1]))

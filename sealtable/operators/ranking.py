@@ -10,30 +10,30 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sealtable.session import work_path
-
 
 def number_rows(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str = "row_no") -> DataFrame:
     """Add the 1-based place of each row within its group.
 
     Rows equal in all ``order`` columns get places in no particular order; a running
     id lets even these spread over partitions, so copies of one row may be many.
+
+    The ordered rows are read twice, and range bounds are sampled anew on each
+    evaluation.  They are therefore persisted on the executors' disks, where Spark
+    encrypts them like its shuffle files, and made again from the same shuffle if an
+    executor is lost.  No job runs while the plan is built.
     """
-    spark = df.sparkSession
-    path = work_path(spark, "ordered")
     keys = [*group, *order, "_tie"]
-    (
+    stored = (
         df.withColumn("_tie", F.monotonically_increasing_id())
         .repartitionByRange(*keys)
         .sortWithinPartitions(*keys)
         .select(*df.columns, F.spark_partition_id().alias("_slice"), F.monotonically_increasing_id().alias("_seq"))
-        # Written out, because range bounds are sampled anew on each evaluation.
-        .write.parquet(path)
+        .persist(StorageLevel.DISK_ONLY)
     )
-    stored = spark.read.parquet(path)
     slices = stored.groupBy(*group, "_slice").agg(F.count("*").alias("_n"), F.min("_seq").alias("_first"))
     earlier = Window.partitionBy(*(group or [F.lit(0)])).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = slices.select(

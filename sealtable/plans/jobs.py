@@ -29,16 +29,17 @@ def transcode(
     save_mode: str = "errorifexists",
     keep: Column | None = None,
     codec: str | None = None,
+    multi_line: bool = False,
 ) -> None:
     """Read a table in one crypto mode and write it in another, optionally keeping only some rows."""
     if source.rstrip("/") == target.rstrip("/"):
         raise ValueError("input and output must be different folders")
-    table = read_table(spark, source, schema, keyring, input_mode, input_layout, fmt, input_partitions, codec)
+    table = read_table(spark, source, schema, keyring, input_mode, input_layout, fmt, input_partitions, codec, multi_line)
     if keep is not None:
         table = table.where(keep)
     write_table(
         table, target, keyring, output_mode, output_layout, fmt, output_partitions, input_partitions, save_mode,
-        codec=codec,
+        codec=codec, multi_line=multi_line,
     )
 
 

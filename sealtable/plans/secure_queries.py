@@ -9,13 +9,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sealtable.functions import payload
 from sealtable.functions.cipher import AES_CBC, PLAIN_TEXT
 from sealtable.operators.keyring import Keyring
 from sealtable.operators.relational import count_matching, first_rows, young_developers
 from sealtable.plans import jobs, runs
 from sealtable.session import work_path
 from sealtable.sources.people import people_columns
-from sealtable.sources.readers import gathered, open_sealed, read_table, scan_sealed
+from sealtable.sources.readers import open_sealed, read_table, scan_sealed
 from sealtable.sources.writers import write_table
 
 TABLES = (
@@ -114,6 +115,23 @@ def bulk_decrypt_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, target, orders.schema, crypto_mode=PLAIN_TEXT)
 
 
+def bulk_encrypt_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plain CSV files whose values have line breaks, to ciphertext."""
+    docs, keyring = table(spark, sf_dir, "documents"), session_keyring(spark)
+    plain, target = work_path(spark, "plain"), work_path(spark, "sealed")
+    write_table(docs, plain, crypto_mode=PLAIN_TEXT, multi_line=True)
+    jobs.encrypt_table(spark, plain, target, docs.schema, keyring, multi_line=True)
+    return read_table(spark, target, docs.schema, keyring)
+
+
+def bulk_decrypt_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ciphertext to plain CSV files whose values have line breaks."""
+    docs, keyring = table(spark, sf_dir, "documents"), session_keyring(spark)
+    target = work_path(spark, "plain")
+    jobs.decrypt_table(spark, stored(docs, keyring), target, docs.schema, keyring, multi_line=True)
+    return read_table(spark, target, docs.schema, crypto_mode=PLAIN_TEXT, multi_line=True)
+
+
 def transcode_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every input mode to every output mode; what arrives is counted and summed."""
     orders, keyring = table(spark, sf_dir, "orders"), session_keyring(spark)
@@ -136,13 +154,25 @@ def transcode_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rekey_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rotate a table to a new data key, then read it; each row shows the key it lies under."""
+    """Rotate a table to a new data key, then read what lies under that key."""
     orders = table(spark, sf_dir, "orders")
     keyring = new_keyring(spark)
     source, target = stored(orders, keyring), work_path(spark, "rekeyed")
     keyring = keyring.add_key()
     jobs.rekey_table(spark, source, target, keyring)
-    return open_sealed(scan_sealed(spark, target), keyring, orders.schema)
+    rotated = scan_sealed(spark, target).where(F.col("key_id") == keyring.active_id)
+    return open_sealed(rotated, keyring, orders.schema)
+
+
+def two_applications(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One ring with the keys of two applications; each opens what it has sealed."""
+    ring, parts = work_path(spark, "ring"), None
+    for app, name, key in (("sales", "customer", "c_custkey"), ("buying", "supplier", "s_suppkey")):
+        keyring = Keyring.create(spark, work_path(spark, "primary"), ring, app, shared=True)
+        df = table(spark, sf_dir, name).select(F.lit(app).alias("app"), F.col(key).alias("id"))
+        part = read_table(spark, stored(df, keyring), df.schema, keyring.reopened())
+        parts = part if parts is None else parts.unionByName(part)
+    return parts
 
 
 def key_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,12 +182,13 @@ def key_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = work_path(spark, "sealed")
     late = F.col("o_orderstatus") == "O"
     write_table(orders.where(~late), path, keyring)
+    first = keyring.active_id
     keyring = keyring.add_key()
     write_table(orders.where(late), path, keyring, save_mode="append")
     by_key = None
-    for key_id in (1, 2):
+    for age, key_id in ((1, first), (2, keyring.active_id)):
         part = open_sealed(scan_sealed(spark, path).where(F.col("key_id") == key_id), keyring, orders.schema)
-        part = part.groupBy("o_orderstatus").agg(F.count("*").alias("n")).withColumn("key_id", F.lit(key_id))
+        part = part.groupBy("o_orderstatus").agg(F.count("*").alias("n")).withColumn("key_id", F.lit(age))
         by_key = part if by_key is None else by_key.unionByName(part)
     return by_key
 
@@ -190,8 +221,8 @@ def repartition_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     jobs.decrypt_table(
         spark, source, target, lineitem.schema, keyring, input_partitions=8, output_partitions=8
     )
-    scan = gathered(spark.read.text(source), 8).select(F.spark_partition_id().alias("task"))
-    tasks = scan.agg(F.count_distinct("task").alias("n")).select(F.lit("tasks_in").alias("what"), "n")
+    opened = read_table(spark, source, lineitem.schema, keyring, partitions=8)
+    tasks = opened.select(F.spark_partition_id().alias("task")).agg(F.count_distinct("task").alias("n")).select(F.lit("tasks_in").alias("what"), "n")
     plain = read_table(spark, target, lineitem.schema, crypto_mode=PLAIN_TEXT)
     files = plain.select(F.input_file_name().alias("file"))
     files = files.agg(F.count_distinct("file").alias("n")).select(F.lit("files_out").alias("what"), "n")
@@ -243,7 +274,7 @@ def people_generated_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 def people_csv_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Row formatting: integers to text, fields joined by commas."""
     people = people_of_customers(spark, sf_dir)
-    return people.select(F.concat_ws(",", "name", F.col("age").cast("string"), "job").alias("line"))
+    return people.select(payload.csv_line(people.schema).alias("line"))
 
 
 def first_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -322,7 +353,10 @@ QUERIES = {
     "roundtrip_json_events": lambda spark, sf_dir: _json_copy(table(spark, sf_dir, "events")),
     "bulk_encrypt_orders": bulk_encrypt_orders,
     "bulk_decrypt_orders": bulk_decrypt_orders,
+    "bulk_encrypt_documents": bulk_encrypt_documents,
+    "bulk_decrypt_documents": bulk_decrypt_documents,
     "transcode_matrix": transcode_matrix,
+    "two_applications": two_applications,
     "rekey_orders": rekey_orders,
     "key_usage": key_usage,
     "rewrap_part": rewrap_part,
@@ -364,6 +398,10 @@ ORACLES = {
     "roundtrip_json_events": "select * from events",
     "bulk_encrypt_orders": "select * from orders",
     "bulk_decrypt_orders": "select * from orders",
+    "bulk_encrypt_documents": "select * from documents",
+    "bulk_decrypt_documents": "select * from documents",
+    "two_applications": """
+        select 'sales' as app, c_custkey as id from customer union all select 'buying', s_suppkey from supplier""",
     "transcode_matrix": f"""
         with modes(m) as (values ('{AES_CBC}'), ('{PLAIN_TEXT}'))
         select a.m as input_mode, b.m as output_mode, n, custkeys, last_date
@@ -386,7 +424,7 @@ ORACLES = {
     "people_generated_bounds": """
         select count(*) as n, count(*) as named, 18 as youngest, 60 as oldest, cast(3 as bigint) as jobs, 3 as shortest, 7 as longest
         from orders""",
-    "people_csv_line": _people_sql(select="name || ',' || age || ',' || job as line"),
+    "people_csv_line": _people_sql(select="'\"' || name || '\",' || age || ',\"' || job || '\"' as line"),
     "first_customers": "select * from customer order by c_custkey limit 87",
     "archive_by_run": """
         select event_id, ts, value, 'run' || (user_id % 8) as app_id from events where event_type <> 'error'""",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sealtable.functions import text as tx
 from sealtable.operators import lines as ln
+from sealtable.operators.ranking import number_rows
 from sealtable.plans.secure_queries import sealed_copy, table
 
 
@@ -82,9 +83,15 @@ def line_table_after_marker(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def conversation_after_marker(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Turns that follow a turn mentioning a full stop in its first 200 characters."""
+    """Turns that follow a turn with a full stop."""
     turns = table(spark, sf_dir, "conversations")
-    return ln.lines_after_marker(turns, r"^[^.]{1,200}\.", ["conv_id"], "turn", "text")
+    return ln.lines_after_marker(turns, r"\.", ["conv_id"], "turn", "text")
+
+
+def gapped_lines_after_marker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines after markers where every third line number is missing."""
+    left = document_lines(spark, sf_dir).where("line_no % 3 <> 1")
+    return ln.lines_after_marker(left, "^[A-M]", chunk_lines=8)
 
 
 def option_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,6 +112,13 @@ def text_numeric_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered.select("pos", "doc_id", "line")
 
 
+def text_sorted_by_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sort itself: the place at which each line comes out."""
+    ordered = ln.sorted_by_number(option_lines(spark, sf_dir), "_", 4, tie_break=["doc_id"])
+    placed = ordered.withColumn("seq", F.monotonically_increasing_id())
+    return number_rows(placed, [], ["seq"], "pos").select("pos", "doc_id", "line")
+
+
 def text_option_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What stands after the first equals sign."""
     value = tx.replace_group(F.col("line"), "[^=]*=(.*)", "$1")
@@ -137,7 +151,8 @@ def customer_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def items_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The files of each nation's customers as one comma-separated list with rewritten prefix."""
     return ln.joined_items(
-        customer_files(spark, sf_dir), ["c_nationkey"], "path", ["c_custkey"], ("/base/", "local:///base/")
+        customer_files(spark, sf_dir), ["c_nationkey"], "path", ["c_custkey"], ("/base/", "local:///base/"),
+        max_items=10_000,
     )
 
 
@@ -173,10 +188,6 @@ def text_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", tx.hex_digest(F.col("text"), 256).alias("digest"))
 
 
-def text_digest_512(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", tx.hex_digest(F.col("text"), 512).alias("digest"))
-
-
 def path_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", tx.after_last(F.col("url"), "/").alias("tail"))
 
@@ -237,6 +248,13 @@ _OPTIONS = """
                else cast(o_custkey - 500 as varchar) end || '=' || o_orderpriority || '=x' as line
       from orders)"""
 
+_SORTED = rf"""{_OPTIONS},
+        keyed as (
+          select *, coalesce(try_cast(regexp_extract(
+            coalesce(string_split(line, '_')[4], ''), '^[ \t]*(-?[0-9]*\.?[0-9]*)', 1) as decimal(38,10)), 0) as k
+          from options)
+        select row_number() over (order by k, line, doc_id) as pos, doc_id, line from keyed"""
+
 QUERIES = {
     "text_containing": text_containing,
     "text_matching": text_matching,
@@ -250,7 +268,9 @@ QUERIES = {
     "text_after_marker": text_after_marker,
     "line_table_after_marker": line_table_after_marker,
     "conversation_after_marker": conversation_after_marker,
+    "gapped_lines_after_marker": gapped_lines_after_marker,
     "text_numeric_sort": text_numeric_sort,
+    "text_sorted_by_number": text_sorted_by_number,
     "text_option_values": text_option_values,
     "text_mapped": text_mapped,
     "text_deleted": text_deleted,
@@ -261,7 +281,6 @@ QUERIES = {
     "text_base64": text_base64,
     "text_base64_wrapped": text_base64_wrapped,
     "text_digest": text_digest,
-    "text_digest_512": text_digest_512,
     "path_tail": path_tail,
     "path_glob": path_glob,
     "text_prefixed": text_prefixed,
@@ -297,14 +316,20 @@ ORACLES = {
     ),
     "conversation_after_marker": _after_marker_sql(
         "with lines as (select * from conversations),", "conv_id", "turn",
-        r"regexp_matches(text, '^[^.]{1,200}\.')", "select conv_id, turn, role, text from taken",
+        r"regexp_matches(text, '\.')", "select conv_id, turn, role, text from taken",
     ),
-    "text_numeric_sort": rf"""{_OPTIONS},
-        keyed as (
-          select *, coalesce(try_cast(regexp_extract(
-            coalesce(string_split(line, '_')[4], ''), '^[ \t]*(-?[0-9]*\.?[0-9]*)', 1) as decimal(38,10)), 0) as k
-          from options)
-        select row_number() over (order by k, line, doc_id) as pos, doc_id, line from keyed""",
+    "gapped_lines_after_marker": _after_marker_sql(
+        f"""{_LINES},
+        left_over as (select * from lines where line_no % 3 <> 1),
+        renumbered as (
+          select doc_id, line_no as real_no, line,
+                 row_number() over (partition by doc_id order by line_no) as line_no from left_over),
+        """, "doc_id", "line_no", "regexp_matches(line, '^[A-M]')",
+        "select doc_id, real_no as line_no, line from taken",
+    ).replace("from lines)", "from renumbered)", 2).replace("from lines l", "from renumbered l")
+    .replace("as (select * from renumbered where", "as (select * from lines where"),
+    "text_numeric_sort": _SORTED,
+    "text_sorted_by_number": _SORTED,
     "text_option_values": rf"""{_OPTIONS}
         select doc_id, regexp_replace(line, '[^=]*=(.*)', '\1', 'g') as value from options""",
     "text_mapped": f"{_LINES} select doc_id, line_no, translate(line, ' ', ',') as line from lines",

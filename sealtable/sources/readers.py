@@ -118,10 +118,11 @@ def read_table(
     fmt: str | None = None,
     partitions: int | None = None,
     codec: str | None = None,
+    multi_line: bool = False,
 ) -> DataFrame:
     """Read an encrypted or a plain table, whichever ``crypto_mode`` says."""
     if crypto_mode == PLAIN_TEXT:
-        return read_plain(spark, path, schema, partitions)
+        return read_plain(spark, path, schema, partitions, multi_line)
     if crypto_mode != AES_CBC:
         raise ValueError(f"unknown crypto mode {crypto_mode!r}")
     if keyring is None:

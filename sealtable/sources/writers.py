@@ -6,12 +6,12 @@ Layouts of an encrypted table:
 ``parquet``  the same without base64: columns ``key_id``, ``body``
 ``file``     whole CSV files with header, one ciphertext each, for exchange
 
-A block holds many rows.  All layouts but ``file`` are written without a shuffle.
+A block holds many rows.  All layouts are written without a shuffle.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sealtable.functions import payload
@@ -21,6 +21,8 @@ from sealtable.session import work_path
 from sealtable.sources.blocks import BLOCK_BYTES, pack_lines
 
 FILE_BYTES = 64 * 1024 * 1024
+# Rows of a plain file whose values may have line breaks.
+MULTI_LINE_ROWS = 100_000
 
 
 def seal_rows(
@@ -73,10 +75,11 @@ def write_table(
     save_mode: str = "errorifexists",
     block_bytes: int = BLOCK_BYTES,
     codec: str | None = None,
+    multi_line: bool = False,
 ) -> None:
     """Write ``df`` encrypted or plain, in ``partitions`` files when that is given."""
     if crypto_mode == PLAIN_TEXT:
-        write_plain(df, path, partitions, have_partitions, save_mode)
+        write_plain(df, path, partitions, have_partitions, save_mode, multi_line)
         return
     if crypto_mode != AES_CBC:
         raise ValueError(f"unknown crypto mode {crypto_mode!r}")
@@ -108,31 +111,27 @@ def write_plain(
     partitions: int | None = None,
     have_partitions: int | None = None,
     save_mode: str = "errorifexists",
+    multi_line: bool = False,
 ) -> None:
-    rows = spread(payload.plain_strings(df), partitions, have_partitions)
-    rows.write.mode(save_mode).options(**payload.CSV_FILE).csv(path)
+    """CSV with a header.  Strings with line breaks are refused unless ``multi_line`` is
+    set, and then files hold a bounded number of rows, as each is read by one task."""
+    rows = spread(payload.plain_strings(df, multi_line), partitions, have_partitions)
+    writer = rows.write.mode(save_mode).options(**payload.CSV_FILE)
+    if multi_line:
+        writer = writer.option("maxRecordsPerFile", MULTI_LINE_ROWS)
+    writer.csv(path)
 
 
 def seal_files(df: DataFrame, keyring: Keyring, file_bytes: int = FILE_BYTES) -> DataFrame:
-    """``(name, content)``: whole CSV files of about ``file_bytes``, each one ciphertext.
-
-    Rows are cut by running size inside each input partition, so no file outgrows
-    its bound however the data lies.  The running size and the grouping share one
-    shuffle, on the partition number.
-    """
-    lines = df.select(payload.csv_line(df.schema, escape=False).alias("line")).select(
-        "line", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("seq")
-    )
-    running = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum(F.octet_length("line") + 1).over(running), F.lit(0))
-    numbered = lines.withColumn("chunk", F.floor(before / F.lit(file_bytes)))
-    rows = F.transform(F.sort_array(F.collect_list(F.struct("seq", "line"))), lambda r: r["line"])
-    body = F.concat(F.lit(payload.csv_header(df.schema) + "\n"), F.array_join(rows, "\n"), F.lit("\n"))
-    name = F.format_string("part-%05d-%05d.csv.cbc", F.col("part"), F.col("chunk"))
-    return (
-        numbered.groupBy("part", "chunk")
-        .agg(body.alias("text"))
-        .select(name.alias("name"), encrypt_bytes(F.col("text").cast("binary"), keyring.active_key()).alias("content"))
+    """``(name, content)``: whole CSV files of at most ``file_bytes`` or one line, each one
+    ciphertext.  Neighbouring rows are packed as the other layouts pack them, without a
+    shuffle; a file holds rows of one Arrow batch."""
+    lines = df.select(payload.csv_line(df.schema, escape=False).alias("line"))
+    blocks = pack_lines(lines, file_bytes)
+    name = F.format_string("part-%05d-%012d.csv.cbc", F.spark_partition_id(), F.monotonically_increasing_id())
+    body = F.concat(F.lit(payload.csv_header(df.schema) + "\n"), F.col("block"), F.lit("\n"))
+    return blocks.select(
+        name.alias("name"), encrypt_bytes(body.cast("binary"), keyring.active_key()).alias("content")
     )
 
 

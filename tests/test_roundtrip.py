@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sealtable.plans import jobs
 from sealtable.functions.payload import as_schema, decode, encode, pick_format
 from sealtable.session import work_path
 from sealtable.sources.readers import read_table
@@ -138,6 +139,21 @@ def test_plain_csv_refuses_what_it_cannot_hold(spark):
         write_table(df, work_path(spark, "plain"), crypto_mode="plain_text")
 
 
+@pytest.mark.parametrize("mode", ["plain_text", "AES/CBC/PKCS5Padding"])
+def test_plain_csv_with_line_breaks(spark, keyring, mode):
+    """Refused, or exact with multi_line; count agrees with the rows."""
+    rows = [("a\nb",), ("c",), ("d\re",), ("f\r\ng",), ("\n",), ('q"\n"',), ("",), (None,), (" x\n",)]
+    df = spark.createDataFrame(rows, "s string")
+    with pytest.raises(Exception, match="multi_line"):
+        write_table(df, work_path(spark, "plain"), crypto_mode="plain_text")
+    plain, target = work_path(spark, "plain"), work_path(spark, "target")
+    write_table(df, plain, crypto_mode="plain_text", multi_line=True)
+    jobs.transcode(spark, plain, target, df.schema, "plain_text", mode, keyring, multi_line=True)
+    for path, kind in ((plain, "plain_text"), (target, mode)):
+        back = read_table(spark, path, df.schema, keyring, kind, multi_line=True)
+        assert back.count() == len(rows) and sorted(map(str, back.collect())) == sorted(map(str, df.collect()))
+
+
 def test_types_of_schema_survive(spark, keyring):
     df = spark.createDataFrame([(1, Decimal("1.5"))], "a smallint, d decimal(10,2)")
     path = work_path(spark, "types")

@@ -2,7 +2,9 @@
 
 import base64
 import hashlib
+import fractions
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -87,7 +89,26 @@ def test_prefix_and_route(spark):
 
 def test_numeric_part(spark):
     lines = ["A_B_C_10=x", "A_B_C_9", "A_B_C_x", "A_B", "A_B_C_-3=", "A_B_C_ 2.50_7", "A_B_C_"]
-    assert [float(v) for v in values(spark, tx.numeric_part(S, "_", 4), *lines)] == [10, 9, 0, 0, -3, 2.5, 0]
+    got = [tuple(v) for v in values(spark, tx.numeric_part(S, "_", 4), *lines)]
+    assert got[:3] == [(1, 2, "10", ""), (1, 1, "9", ""), (0, 0, "", "")] and got[4:6] == [(-1, -1, "6", "~"), (1, 1, "2", "5")]
+
+
+def test_numbers_of_any_length_sort_like_numbers(spark):
+    rng = random.Random(1)
+    texts = ["0", "-0", "00.0", "", "x", "-", ".5", "-.5", "1.50", "1.5", "-1.5", "-1.55", "-1.49", "007", "7", "." , "1" + "0" * 39]
+    texts += ["-" + "9" * 40, "9" * 40 + ".25", "9" * 40 + ".3", "123456789012345678901234567890", "5", "0." + "0" * 30 + "1"]
+    for _ in range(200):
+        texts.append(rng.choice(["", "-"]) + "".join(rng.choice("0123456789") for _ in range(rng.randrange(0, 45))) +
+                     rng.choice(["", "."]) + "".join(rng.choice("0123456789") for _ in range(rng.randrange(0, 15))))
+
+    def number(t):
+        found = re.match(r"-?[0-9]*\.?[0-9]*", t)[0]
+        return fractions.Fraction(found) if re.search("[0-9]", found) else fractions.Fraction(0)
+
+    df = spark.createDataFrame([(i, 0, f"a_b_c_{t}") for i, t in enumerate(texts)], "doc_id int, line_no int, line string")
+    numbered = ln.numbered_by_number(df, "_", 4).orderBy("pos").collect()
+    key = lambda i: (number(texts[i]), f"a_b_c_{texts[i]}", i)
+    assert [r.doc_id for r in numbered] == sorted(range(len(texts)), key=key)
 
 
 def test_numeric_sort(spark):
@@ -139,8 +160,48 @@ def test_line_table_agrees_with_a_walk(spark, chunk_lines):
 def test_line_table_with_gaps(spark):
     rows = [(1, 10 * i, s) for i, s in enumerate(["M1", "M2", "M3", "x", "M4", "y", "M5"])]
     df = spark.createDataFrame(rows, "doc_id int, line_no int, line string")
-    got = ln.lines_after_marker(df, "^M", chunk_lines=2, gapless=False)
+    got = ln.lines_after_marker(df, "^M", chunk_lines=2)
     assert {tuple(r) for r in got.collect()} == {(1, 10, "M2"), (1, 30, "x"), (1, 50, "y")}
+    three = spark.createDataFrame([(1, 0, "M"), (1, 4, "x"), (1, 6, "y")], df.schema)
+    assert [tuple(r) for r in ln.lines_after_marker(three, "^M").collect()] == [(1, 4, "x")]
+
+
+@pytest.mark.parametrize("chunk_lines", [1, 3, 50])
+def test_gapped_lines_agree_with_a_walk(spark, chunk_lines):
+    rng = random.Random(chunk_lines)
+    docs = {d: [(rng.choice(["M", "M", "x"]) + str(i), i) for i in range(300) if rng.random() < 0.4] for d in range(20)}
+    rows = [(d, at, line) for d, lines in docs.items() for line, at in lines]
+    got = ln.lines_after_marker(spark.createDataFrame(rows, "doc_id int, line_no int, line string"), "^M", chunk_lines=chunk_lines)
+    want = {(d, lines[i][1], lines[i][0]) for d, lines in docs.items() for i in walked([x for x, _ in lines], lambda x: x[0] == "M")}
+    assert {tuple(r) for r in got.collect()} == want
+
+
+def test_a_sealed_table_is_opened_once(spark, keyring):
+    """Last values and lines after markers decrypt each block once."""
+    from sealtable.plans.secure_queries import sealed_copy
+
+    rows = [(d, i, rng_line) for d in range(30) for i, rng_line in enumerate(["M a", "x b", "M c", "y d"])]
+    lines = sealed_copy(spark.createDataFrame(rows, "doc_id int, line_no int, line string"))
+    for df in (ln.last_value_per_key(lines, ["doc_id"], {"m": "^M", "x": "^x"}), ln.lines_after_marker(lines, "^M")):
+        df.collect()
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        cached = plan.count("InMemoryRelation")
+        assert plan.count("aes_decrypt") == 0 or cached or plan.count("from_csv") == 1
+        assert cached in (0, 2)
+
+
+def test_ordering_rows_leaves_no_table(spark):
+    """Nothing is written below the shared folder, and building the plan runs no job."""
+    import os
+
+    from sealtable.session import shared_folder
+
+    def files():
+        return sum(len(names) for _, _, names in os.walk(shared_folder(spark).replace("file:", "")))
+
+    before = files()
+    numbered = number_rows(spark.range(1000).withColumn("v", F.col("id") % 7), [], ["v", "id"], "n")
+    assert numbered.count() == 1000 and files() == before
 
 
 def test_last_value_per_key(spark):
