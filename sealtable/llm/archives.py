@@ -41,6 +41,8 @@ from sealtable.llm import common
 from sealtable.session import work_path
 
 MIN_BYTES = 0
+# Compression of both archives: a third of the time of the usual level 6, a tenth more bytes.
+LEVEL = 3
 # Parts that the records of one digest are dealt over.
 PARTS = 64
 # Fixed values of the two versions of the ARC format: the fields of a header line.
@@ -51,25 +53,30 @@ ARC_FIELDS = {
 # Fixed value: the profile of a revisit with an equal payload.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE, ADDRESS = "20000101000000", "0.0.0.0"
-_MEMBER_LIMIT = 1 << 24
+_MEMBER_LIMIT, _PIECE = 1 << 24, 1 << 12
 
 
 def member(raw: bytes) -> bytes:
     """The bytes as a gzip member that ends with a zero byte."""
-    packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+    packer = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
     out = packer.compress(raw) + packer.flush()
     return out if len(raw) < _MEMBER_LIMIT else out + member(b"")
 
 
 def members(raw: bytes) -> Iterator[bytes]:
-    """The contents of the gzip members of a file, one at a time."""
-    view = memoryview(raw)
-    while len(view):
-        packer = zlib.decompressobj(31)
-        out = packer.decompress(view)
-        if not packer.eof:
-            raise ValueError("an archive ends inside a record")
-        view = view[len(view) - len(packer.unused_data) :]
+    """The contents of the gzip members of a file, one at a time.  Input goes in by small
+    pieces: what a member leaves over is copied, and must not be the rest of the file."""
+    view, at = memoryview(raw), 0
+    while at < len(view):
+        packer, parts = zlib.decompressobj(31), []
+        while not packer.eof:
+            piece = view[at : at + _PIECE]
+            if not len(piece):
+                raise ValueError("an archive ends inside a record")
+            parts.append(packer.decompress(piece))
+            at += len(piece)
+        at -= len(packer.unused_data)
+        out = b"".join(parts)
         if out:
             yield out
 
