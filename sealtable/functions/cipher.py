@@ -67,9 +67,26 @@ def _as_text(block: Column) -> Column:
     return F.when(packed, wrong).otherwise(block.cast("string"))
 
 
-def unseal_text(body: Column, key: Column) -> Column:
+def marked(block: Column, mark: bytes) -> Column:
+    """A block's bytes behind the mark of the schema they were written with."""
+    return F.concat(F.lit(mark), block.cast("binary"))
+
+
+def unseal_marked(body: Column, key: Column, mark: bytes) -> Column:
+    """A marked block without its mark; another mark fails the job, so that a table is not
+    read with the names or types of another one."""
+    other = F.raise_error(F.lit("block was written with another schema or format")).cast("binary")
+
+    def opened(data: Column) -> Column:
+        rest = F.substring(data, len(mark) + 1, 2**31 - 1)
+        return F.when(F.substring(data, 1, len(mark)) == F.lit(mark), rest).otherwise(other)
+
+    return bind(unseal(body, key), opened)
+
+
+def unseal_text(body: Column, key: Column, mark: bytes) -> Column:
     """The same as text; compressed blocks are refused rather than misread."""
-    return bind(unseal(body, key), _as_text)
+    return bind(unseal_marked(body, key, mark), _as_text)
 
 
 def no_newlines(encoded: Column) -> Column:

@@ -11,6 +11,9 @@ quotes doubled.  Inside strings a backslash, LF, CR and NUL become ``\\s``, ``\\
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,6 +59,12 @@ def pick_format(schema: T.StructType) -> str:
     return "csv" if flat else "json"
 
 
+def schema_mark(schema: T.StructType, fmt: str) -> bytes:
+    """Eight bytes that tell one schema and format from another: names, types and order."""
+    shown = [fmt, *(f"{f.name}:{f.dataType.simpleString()}" for f in schema)]
+    return hashlib.sha256(json.dumps(shown).encode()).digest()[:8]
+
+
 def as_schema(schema: T.StructType | str) -> T.StructType:
     return T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sealtable.functions import payload
-from sealtable.functions.cipher import AES_CBC, PLAIN_TEXT, bind, decrypt_bytes, unseal, unseal_text
+from sealtable.functions.cipher import AES_CBC, PLAIN_TEXT, bind, decrypt_bytes, unseal_marked, unseal_text
 from sealtable.operators.keyring import Keyring
 from sealtable.sources.blocks import unpack_lines
 
@@ -54,12 +54,14 @@ def open_sealed(
     copy or enter.
     """
     schema = payload.as_schema(schema)
+    fmt = fmt or payload.pick_format(schema)
     keyed, body, key = keyring.attach(sealed), F.col("body"), F.col("data_key")
+    mark = payload.schema_mark(schema, fmt)
     if codec is None:
-        lines = keyed.select(F.explode(F.split(unseal_text(body, key), "\n")).alias("line"))
+        lines = keyed.select(F.explode(F.split(unseal_text(body, key, mark), "\n")).alias("line"))
     else:
-        lines = unpack_lines(keyed.select(unseal(body, key).alias("block")), codec)
-    return payload.decode(lines, schema, fmt or payload.pick_format(schema))
+        lines = unpack_lines(keyed.select(unseal_marked(body, key, mark).alias("block")), codec)
+    return payload.decode(lines, schema, fmt)
 
 
 def find_files(spark: SparkSession, path: str, glob: str = SEALED_GLOB) -> DataFrame:

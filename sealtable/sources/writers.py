@@ -2,7 +2,7 @@
 
 Layouts of an encrypted table:
 
-``line``     text rows ``<key_id> <base64(IV || CBC(check || block))>``
+``line``     text rows ``<key_id> <base64(IV || CBC(check || schema mark || block))>``
 ``parquet``  the same without base64: columns ``key_id``, ``body``
 ``file``     whole CSV files with header, one ciphertext each, for exchange
 
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sealtable.functions import payload
-from sealtable.functions.cipher import AES_CBC, PLAIN_TEXT, encrypt_bytes, no_newlines, seal
+from sealtable.functions.cipher import AES_CBC, PLAIN_TEXT, encrypt_bytes, marked, no_newlines, seal
 from sealtable.operators.keyring import Keyring
 from sealtable.session import work_path
 from sealtable.sources.blocks import BLOCK_BYTES, pack_lines
@@ -33,8 +33,10 @@ def seal_rows(
     codec: str | None = None,
 ) -> DataFrame:
     """Any table as encrypted blocks ``(key_id, body)`` under the active key."""
-    blocks = pack_lines(payload.encode(df, fmt or payload.pick_format(df.schema)), block_bytes, codec)
-    return seal_blocks(blocks, keyring)
+    fmt = fmt or payload.pick_format(df.schema)
+    blocks = pack_lines(payload.encode(df, fmt), block_bytes, codec)
+    mark = payload.schema_mark(df.schema, fmt)
+    return seal_blocks(blocks.select(marked(F.col("block"), mark).alias("block")), keyring)
 
 
 def seal_blocks(blocks: DataFrame, keyring: Keyring) -> DataFrame:

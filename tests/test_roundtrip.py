@@ -162,6 +162,18 @@ def test_types_of_schema_survive(spark, keyring):
     assert [f.dataType for f in back.schema] == [T.ShortType(), T.DecimalType(10, 2)]
 
 
+@pytest.mark.parametrize("options", [{}, {"layout": "parquet"}, {"layout": "parquet", "codec": "zstd"}])
+def test_another_schema_is_refused(spark, keyring, options):
+    """Swapped columns, another name and another type fail instead of giving other values."""
+    df = spark.createDataFrame([(1, 2, "x")], "a int, b int, s string")
+    path = work_path(spark, "sealed")
+    write_table(df, path, keyring, **options)
+    assert read_table(spark, path, df.schema, keyring, **options).first() == (1, 2, "x")
+    for other in ("b int, a int, s string", "a int, c int, s string", "a int, b long, s string", "a int, b int"):
+        with pytest.raises(Exception, match="another schema"):
+            read_table(spark, path, other, keyring, **options).collect()
+
+
 def test_wrong_codec_fails(spark, keyring):
     df = spark.createDataFrame([("a",), ("b",)], "s string")
     packed, plain = work_path(spark, "packed"), work_path(spark, "plain")
