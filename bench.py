@@ -24,7 +24,7 @@ from sealtable.plans import jobs, text_queries  # noqa: E402
 from sealtable.plans.secure_queries import new_keyring, stored, table  # noqa: E402
 from sealtable.session import builder, work_path  # noqa: E402
 from sealtable.sources.readers import open_sealed, read_table, scan_sealed  # noqa: E402
-from sealtable.sources.writers import seal_rows  # noqa: E402
+from sealtable.sources.writers import seal_files, seal_rows  # noqa: E402
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
@@ -79,6 +79,7 @@ def main() -> None:
         "secure_count": lambda: read_table(spark, sealed, lineitem.schema, keyring).agg(F.count_if(keep)).collect(),
         "encrypt": lambda: drain(seal_rows(lineitem, keyring)),
         "encrypt_zstd": lambda: drain(seal_rows(lineitem, keyring, codec="zstd")),
+        "encrypt_files": lambda: drain(seal_files(lineitem, keyring)),
         "encrypt_and_write": lambda: stored(lineitem, keyring),
         "decrypt": lambda: drain(read_table(spark, sealed, lineitem.schema, keyring)),
         "decrypt_to_csv": lambda: jobs.decrypt_table(
