@@ -229,7 +229,7 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        large = stored(large.distinct(), label)
+        large = stored(large, label)
         # Now every pair has v < u, so v ranges over the smaller neighbours of u.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(least, "u")

@@ -39,9 +39,12 @@ WORDS = 5
 # Similarity as a fraction: 100 * intersection >= PERCENT * union.
 PERCENT = 75
 # The sketch: counters, and counters per stored block.
-COUNTERS, BLOCK = 1 << 20, 1 << 14
-# A list is dealt over as many tasks as its estimate holds this many entries.
-LIST_ROWS = 1024
+COUNTERS, BLOCK = 1 << 22, 1 << 16
+# A list is dealt over as many tasks as its estimate holds this many entries, 4095 at most.
+LIST_ROWS, MOST_PARTS = 1024, 4095
+# A posting's numbers in one: part (12 bits), position and size (26 bits each).  The part is
+# also mixed into the key by this factor, so that a part is a list of its own.
+BITS, FACTOR = 26, 0x1357_9BDF_2468
 
 
 def _signature(shingles: np.ndarray) -> int:
@@ -80,7 +83,8 @@ def shingled(docs: DataFrame, words: int) -> DataFrame:
             )
         if seen:
             for k in range(0, COUNTERS, BLOCK):
-                part = counts[k : k + BLOCK]
+                # One byte a counter: a task's own count ends at 255, which is frequent enough.
+                part = np.minimum(counts[k : k + BLOCK], 255).astype(np.uint8)
                 if part.any():
                     row = [None], [None], [None], [k // BLOCK], [part.tobytes()]
                     kinds = pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()
@@ -96,7 +100,7 @@ def _summed(rows):
 
     total = np.zeros(BLOCK, np.int64)
     for raw in rows["counts"]:
-        total += np.frombuffer(raw, np.int64 if len(raw) == 8 * BLOCK else np.int32)
+        total += np.frombuffer(raw, np.int64 if len(raw) == 8 * BLOCK else np.uint8)
     return pd.DataFrame({"block": [rows["block"].iloc[0]], "part": [0], "counts": [total.tobytes()]})
 
 
@@ -144,13 +148,15 @@ def grouped(docs: DataFrame, words: int, rank) -> DataFrame:
 
 
 def postings(docs: DataFrame, words: int, rank) -> DataFrame:
-    """``(token, deal, dealt, g, n, pos)``: the places of the groups' prefix shingles.  A task
-    writes each group once, so copies are gone before anything is shuffled."""
+    """``(key, g, place)``: the places of the groups' prefix shingles.  ``place`` holds the
+    part of a dealt list (0 if it is not dealt), position and size: few columns make a
+    small shuffle.  A task writes each group once, so copies are gone before anything is
+    shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = np.frombuffer(rank.value, np.uint8)
         written: set[int] = set()
-        names = ["token", "deal", "dealt", "g", "n", "pos"]
+        names = ["key", "g", "place"]
 
         def flush(parts):
             columns = [pa.array(np.concatenate(c)) for c in zip(*parts)]
@@ -167,10 +173,13 @@ def postings(docs: DataFrame, words: int, rank) -> DataFrame:
                 if g in written:
                     continue
                 written.add(g)
-                deals = np.maximum((1 << level.astype(np.int64)) // LIST_ROWS, 1)
+                if n >> BITS:
+                    raise ValueError("a text has more shingles than a posting can number")
+                deals = np.minimum((1 << level.astype(np.int64)) // LIST_ROWS, MOST_PARTS)
                 k = len(prefix)
-                of = np.full(k, g), np.full(k, n), np.arange(k, dtype=np.int64)
-                parts.append((common.longs(prefix), g % deals, deals > 1, *of))
+                deal = np.where(deals > 1, 1 + g % np.maximum(deals, 1), 0)
+                place = (deal << 2 * BITS) + (np.arange(k, dtype=np.int64) << BITS) + n
+                parts.append((common.longs(prefix) ^ (deal * FACTOR), np.full(k, g), place))
                 held += k
                 if held > 200_000:
                     yield flush(parts)
@@ -178,7 +187,7 @@ def postings(docs: DataFrame, words: int, rank) -> DataFrame:
             if parts:
                 yield flush(parts)
 
-    return docs.mapInArrow(run, "token long, deal long, dealt boolean, g long, n long, pos long")
+    return docs.mapInArrow(run, "key long, g long, place long")
 
 
 def _filters(n1, p1, n2, p2):
@@ -193,10 +202,14 @@ def _filters(n1, p1, n2, p2):
 def lists(entries: DataFrame) -> DataFrame:
     """Entries of the lists that hold several groups, each with the hub of its list.  All
     parts of a dealt list stay, as the other groups may be in another part."""
-    list_ = Window.partitionBy("token", "deal")
+    list_ = Window.partitionBy("key")
     order = list_.orderBy("relative", "g")
+    low, deal = (1 << BITS) - 1, F.shiftrightunsigned("place", 2 * BITS)
     return (
-        entries.withColumn("relative", _relative())
+        entries.repartition("key")
+        .withColumns({"n": F.col("place").bitwiseAND(low), "pos": F.shiftright("place", BITS).bitwiseAND(low)})
+        .withColumns({"token": F.col("key").bitwiseXOR(deal * FACTOR), "dealt": deal > 0})
+        .withColumn("relative", _relative())
         .withColumn("hub", F.first(F.struct("g", "n", "pos")).over(order))
         .withColumn("before", F.lag("g").over(order))
         .withColumn("several", F.min("g").over(list_) < F.max("g").over(list_))
@@ -233,24 +246,28 @@ def _verified(docs: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
     texts = docs.join(common.small(wanted), "doc_id").select("sig", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        written: set[int] = set()
         for whole in batches:
             for at in range(0, whole.num_rows, 200):
                 batch = whole.slice(at, 200)
                 rows, sets = [], []
                 asked = batch.column(0).to_pylist()
                 for row, s in common.shingle_sets(batch.column(1), words):
-                    if _signature(s) == asked[row]:
+                    # Repeated rows of an id would only repeat their pairs.
+                    if _signature(s) == asked[row] and asked[row] not in written:
+                        written.add(asked[row])
                         rows.append(asked[row])
                         sets.append(common.longs(s))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(rows, pa.int64()), common.lists(sets, pa.int64())], ["sig", "shingles"]
                 )
 
-    sets = texts.mapInArrow(run, "sig long, shingles array<long>").dropDuplicates(["sig"])
-    sets = common.stored(sets, "sets")
-    a = sets.select(F.col("sig").alias("sig_a"), F.col("shingles").alias("set_a"))
-    b = sets.select(F.col("sig").alias("sig_b"), F.col("shingles").alias("set_b"))
-    both = pairs.join(b, "sig_b").join(a, "sig_a")
+    sets = common.stored(texts.mapInArrow(run, "sig long, shingles array<long>"), "sets")
+    # Sets move once, to the hubs; pairs come to them first.
+    b = sets.withColumnsRenamed({"sig": "sig_b", "shingles": "set_b"}).join(common.small(pairs), "sig_b")
+    hubs = common.small(pairs.select("sig_a").distinct())
+    a = sets.withColumnsRenamed({"sig": "sig_a", "shingles": "set_a"}).join(hubs, "sig_a", "left_semi")
+    both = b.select("sig_a", "a", "b", "set_b").join(a.hint("merge"), "sig_a")
     shared = F.size(F.array_intersect("set_a", "set_b"))
     union = F.size("set_a") + F.size("set_b") - shared
     return both.where(shared * 100 >= union * PERCENT).select("a", "b")
@@ -285,38 +302,50 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     links = _verified(ids, stars.select(*names).unionByName(inside.select(*names)), words)
 
     # Different texts under one id are one document.
-    own = rows.where("doc_id is not null").join(nodes, "sig").select("doc_id", "node")
-    several = own.groupBy("doc_id").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most")
-    same = own.join(several, "doc_id").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
-    links = common.stored(links.unionByName(same), "links")
-    found = common.stored(common.components(links), "found")
+    several = sets.groupBy("doc_id").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("lo < hi")
+    own = sets.join(common.small(several.select("doc_id")), "doc_id").join(nodes, "sig").select("doc_id", "node")
+    least = own.groupBy("doc_id").agg(F.min("node").alias("b"))
+    same = own.withColumnRenamed("node", "a").join(least, "doc_id").where("a <> b").select("a", "b")
+    found = common.stored(common.components(links.unionByName(same)), "found").withColumnRenamed("id", "node")
 
     # What is left: pairs across components in one list, or in one group.
-    placed = members.join(found.withColumnRenamed("id", "node"), "node", "left").select(
-        "g", "sig", "node", F.coalesce("component", "node").alias("component")
+    placed = members.join(found, "node", "left").select(
+        "g", "node", F.coalesce("component", "node").alias("component")
     )
     listed = held.select("token", "g", "n", "pos").unionByName(
         chiefs.where("size > 1").select(F.col("g").alias("token"), "g", F.lit(1).alias("n"), F.lit(0).alias("pos"))
     )
-    listed = common.stored(listed.join(placed, "g"), "listed")
-    mixed = listed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    open_ = listed.join(mixed.select("token"), "token")
-    x = open_.select("token", *(F.col(c).alias(f"{c}_a") for c in ("sig", "node", "n", "pos", "component")))
-    y = open_.select("token", *(F.col(c).alias(f"{c}_b") for c in ("sig", "node", "n", "pos", "component")))
+    list_ = Window.partitionBy("token")
+    mixed = F.min("component").over(list_) < F.max("component").over(list_)
+    open_ = listed.join(placed, "g").select("token", "node", "n", "pos", "component", mixed.alias("mixed")).where("mixed")
+    x = open_.select("token", *(F.col(c).alias(f"{c}_a") for c in ("node", "n", "pos", "component")))
+    y = open_.select("token", *(F.col(c).alias(f"{c}_b") for c in ("node", "n", "pos", "component")))
     across = x.join(y, "token").where(
         (F.col("component_a") < F.col("component_b"))
         & _filters(F.col("n_a"), F.col("pos_a"), F.col("n_b"), F.col("pos_b"))
     )
-    late = _verified(ids, across.select("sig_a", F.col("node_a").alias("a"), "sig_b", F.col("node_b").alias("b")), words)
-    final = common.components(links.unionByName(late))
-    final = final.withColumnRenamed("id", "node")
+    across = common.stored(across.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), "across")
+    mine = members.select(F.col("node").alias("a"), F.col("sig").alias("sig_a"))
+    theirs = members.select(F.col("node").alias("b"), F.col("sig").alias("sig_b"))
+    late = _verified(ids, across.join(mine, "a").join(theirs, "b").select(*names), words)
+    late = common.stored(late, "late")
+    # The components that late links join; found ones are not gone through again.
+    ends = late.select(F.col("a").alias("node")).unionByName(late.select(F.col("b").alias("node"))).distinct()
+    of = common.small(common.stored(found.join(common.small(ends), "node"), "ends"))
+    for side in ("a", "b"):
+        named = of.select(F.col("node").alias(side), F.col("component").alias("c"))
+        late = late.join(named, side, "left").withColumn(side, F.coalesce("c", side)).drop("c")
+    joined = common.components(late).select(F.col("id").alias("component"), F.col("component").alias("whole"))
+    joined = common.small(common.stored(joined, "joined"))
     return (
         rows.join(nodes, "sig", "left")
-        .join(final, "node", "left")
+        .join(found, "node", "left")
+        .withColumn("component", F.coalesce("component", "node", "doc_id"))
+        .join(joined, "component", "left")
         .select(
             "doc_id",
             F.col("n").alias("n_shingles"),
-            F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "node", "doc_id")).alias("component_id"),
+            F.when(F.col("doc_id").isNotNull(), F.coalesce("whole", "component")).alias("component_id"),
         )
     )
 
