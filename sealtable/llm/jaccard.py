@@ -104,15 +104,23 @@ def _summed(rows):
     return pd.DataFrame({"block": [rows["block"].iloc[0]], "part": [0], "counts": [total.tobytes()]})
 
 
+def _levelled(rows):
+    """One block per group: log2 of the sum of its blocks, one byte a counter."""
+    import pandas as pd
+
+    total = np.frombuffer(_summed(rows)["counts"].iloc[0], np.int64)
+    levels = np.log2(np.maximum(total, 1)).astype(np.uint8)
+    return pd.DataFrame({"block": [rows["block"].iloc[0]], "counts": [levels.tobytes()]})
+
+
 def rarity(blocks: DataFrame, spread: int = 32) -> np.ndarray:
     """log2 of each counter, one byte each: what the order and the dealing need."""
     schema = "block int, part int, counts binary"
     dealt = blocks.select("block", F.pmod(F.xxhash64("counts"), F.lit(spread)).cast("int").alias("part"), "counts")
     once = dealt.groupBy("block", "part").applyInPandas(_summed, schema)
     out = np.zeros(COUNTERS, np.uint8)
-    for row in once.groupBy("block").applyInPandas(_summed, schema).toLocalIterator():
-        total = np.frombuffer(row["counts"], np.int64)
-        out[row["block"] * BLOCK : (row["block"] + 1) * BLOCK] = np.log2(np.maximum(total, 1)).astype(np.uint8)
+    for row in once.groupBy("block").applyInPandas(_levelled, "block int, counts binary").collect():
+        out[row["block"] * BLOCK : (row["block"] + 1) * BLOCK] = np.frombuffer(row["counts"], np.uint8)
     return out
 
 
