@@ -1,18 +1,21 @@
-"""Operator 2: substring deduplication with content-defined chunks.
+"""Operator 2: substring deduplication, exact by words.
 
-A gear hash rolls over the bytes of a text: each step shifts the hash and adds a table
-value for the byte, so an eight-bit hash depends on the last eight bytes only.  A chunk
-ends at a blank whose hash is below ``CUT_BELOW``, about every fifth word; in a stretch
-without blanks it may end between any two characters.  An insertion moves the chunks
-around it and no others.
+``without_passages`` cuts every word that lies in ``PASSAGE`` words in a row which a document
+of smaller id has too.  Each such window of words has a seed: the least hash of the runs of
+``GRAM`` words in it.  Equal windows have equal seeds, and neighbouring windows mostly share
+theirs, so seeds are few; windows are hashed and compared only where a seed is in several
+documents.  A match is one run of words in one other document, and is as long as it is there.
 
-A chunk is repeated in a document if its digest also occurs in one of smaller id.  Runs
-of repeated chunks of ``min_words`` words or more are cut out; the document of the least
-id keeps every passage.  Chunks at the edges of a repeated passage differ, about five
-words at each end, so the bound on a run is below the 50 words of a whole passage.
+``without_repeats`` works by content-defined chunks.  A gear hash rolls over the bytes of a
+text: each step shifts the hash and adds a table value for the byte, so an eight-bit hash
+depends on the last eight bytes only.  A chunk ends at a blank whose hash is below
+``CUT_BELOW``, about every fifth word; in a stretch without blanks it may end between any two
+characters.  A chunk is repeated in a document if its digest also occurs in one of smaller id.
+Runs of repeated chunks of ``min_words`` words or more are cut out; they need not stand in a
+row in one other document, and some passages of over 50 words have no such run.
 
 Digests are grouped with partial sums, and only digests of several documents are joined
-to the chunks again; a digest in very many documents is a skewed join, which Spark splits.
+to their rows again; a digest in very many documents is a skewed join, which Spark splits.
 
 Defined cases: a null or empty text stays as it is; a row without id keeps its text and
 is no source for others; rows of one id are one document, which repeats nothing of
@@ -36,6 +39,8 @@ CUT_BELOW, CUT_BELOW_INSIDE = 48, 8
 # Bytes without a blank after which a chunk may end inside them.
 NO_BLANK = 64
 MIN_WORDS = 28
+# Words of the shortest passage, and of the runs that seeds are chosen from.
+PASSAGE, GRAM = 50, 25
 
 _GEAR = (common.mixed(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(40)).astype(np.uint8)
 _BLANK = common._SPACE
@@ -169,9 +174,144 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return out.select(*("text" if n == "text" else F.col(f"rest.{n}").alias(n) for n in names), "n_chunks", "removed")
 
 
+def _grams(hashes: np.ndarray, words: int) -> np.ndarray:
+    """A hash of each run of so many words."""
+    up, down = common._power_tables(len(hashes) + 1)
+    sums = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(hashes * up[: len(hashes)], out=sums[1:])
+    return common.mixed((sums[words:] - sums[:-words]) * down[: len(hashes) - words + 1] + np.uint64(words))
+
+
+def _windows(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """By slices of rows: the row of each window of PASSAGE words, the number of its first
+    word in the row, its seed and its hash."""
+    at, raw = common.buffers(column)
+    for first, last in common.slices(at):
+        base = int(at[first])
+        ends = at[first + 1 : last + 1] - base
+        data = np.insert(raw[base : int(at[last])], ends, 0x20)
+        start, end = common.word_spans(data)
+        if len(start) < PASSAGE:
+            continue
+        row = np.searchsorted(ends + np.arange(1, last - first + 1), start, "right")
+        no = np.arange(len(start)) - np.searchsorted(row, row)
+        hashes = common.span_hashes(data, start, end)
+        seed, width, have = _grams(hashes, GRAM), PASSAGE - GRAM + 1, 1
+        while have < width:
+            step = min(have, width - have)
+            seed = np.minimum(seed[:-step], seed[step:])
+            have += step
+        whole = np.flatnonzero(row[: 1 - PASSAGE] == row[PASSAGE - 1 :])
+        yield first + row[whole], no[whole], seed[whole], _grams(hashes, PASSAGE)[whole]
+
+
+def _seeds(docs: DataFrame) -> DataFrame:
+    """``(digest, doc_id, mark)`` of the seeds of ``docs (doc_id, mark, text)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, marks = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            for row, _, seed, _ in _windows(batch.column(2)):
+                new = np.ones(len(row), bool)
+                new[1:] = (seed[1:] != seed[:-1]) | (row[1:] != row[:-1])
+                columns = [common.longs(seed[new]), ids[row[new]], marks[row[new]]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["digest", "doc_id", "mark"])
+
+    return docs.mapInArrow(run, "digest long, doc_id long, mark int")
+
+
+def _places(docs: DataFrame) -> DataFrame:
+    """``(digest, doc_id, mark, place)`` of the windows of ``docs (doc_id, mark, text,
+    seeds)`` that have one of the seeds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, marks = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            for row, no, seed, digest in _windows(batch.column(2)):
+                seed, good = common.longs(seed), np.zeros(len(row), bool)
+                begin = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else []
+                for a, b in zip(begin, [*begin[1:], len(row)]):
+                    good[a:b] = np.isin(seed[a:b], batch.column(3)[int(row[a])].values.to_numpy(zero_copy_only=False))
+                columns = [common.longs(digest[good]), ids[row[good]], marks[row[good]], no[good].astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["digest", "doc_id", "mark", "place"])
+
+    return docs.mapInArrow(run, "digest long, doc_id long, mark int, place int")
+
+
+def passages(docs: DataFrame) -> DataFrame:
+    """``(doc_id, mark, places)`` for ``docs (doc_id, mark, text)``: first words of the
+    windows that a document of smaller id has."""
+
+    def several(rows: DataFrame) -> DataFrame:
+        ids = rows.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
+        return common.stored(ids.where("least < most").select("digest", "least"), "repeated")
+
+    docs = docs.where("doc_id is not null")
+    seeds = _seeds(docs)
+    shared = seeds.join(several(seeds).select("digest"), "digest")
+    shared = shared.groupBy("doc_id", "mark").agg(F.collect_set("digest").alias("seeds"))
+    windows = docs.join(shared, ["doc_id", "mark"]).select("doc_id", "mark", "text", "seeds")
+    windows = common.stored(_places(windows), "windows")
+    again = windows.join(several(windows), "digest").where("doc_id > least")
+    return again.groupBy("doc_id", "mark").agg(F.collect_list("place").alias("places"))
+
+
+def _without(text: str, places: np.ndarray) -> tuple[str, list[int]]:
+    """The text without the windows that begin at those words, and the spans cut out."""
+    data = np.frombuffer(text.encode(), np.uint8)
+    start, _ = common.word_spans(data)
+    change = np.zeros(len(start) + 1, np.int64)
+    places = np.unique(places)
+    np.add.at(change, places, 1)
+    np.add.at(change, places + PASSAGE, -1)
+    gone = np.diff(np.r_[0, (np.cumsum(change)[:-1] > 0).astype(np.int8), 0])
+    edges = np.r_[start, len(data)]
+    kept, removed, place, length = [], [], 0, 0
+    for a, b in zip(np.flatnonzero(gone == 1).tolist(), np.flatnonzero(gone == -1).tolist()):
+        s, e = int(edges[a]), int(edges[b])
+        kept.append(data[place:s].tobytes().decode())
+        length += len(kept[-1])
+        removed.append(length)
+        length += len(data[s:e].tobytes().decode())
+        removed.append(length)
+        place = e
+    return "".join(kept) + data[place:].tobytes().decode(), removed
+
+
+def without_passages(docs: DataFrame) -> DataFrame:
+    """``docs`` without the passages of PASSAGE words or more that a document of smaller id
+    has, and ``n_chunks`` and ``removed`` as in ``without_repeats``."""
+    names = list(docs.columns)
+    # Rows of one id may have several texts.
+    mark = F.hash("text").alias("mark")
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), mark, "text")
+    rest = F.struct(*(F.col(n) for n in names if n != "text")).alias("rest")
+    held = docs.select(rest, F.col("doc_id").cast("long").alias("doc_id"), mark, "text")
+    both = held.join(passages(plain), ["doc_id", "mark"], "left").select("rest", "text", "places")
+    schema = both.schema["rest"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
+                places, texts = batch.column(2), batch.column(1).to_pylist()
+                counts, removed = np.zeros(batch.num_rows, np.int64), [[] for _ in texts]
+                for first, last, _, _, row in _chunked(batch.column(1)):
+                    counts[first:last] = np.bincount(row, minlength=last - first)
+                for k in np.flatnonzero(places.is_valid().to_numpy(zero_copy_only=False)).tolist():
+                    texts[k], removed[k] = _without(texts[k], places[k].values.to_numpy(zero_copy_only=False))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array(texts, pa.string()), pa.array(counts), pa.array(removed, pa.list_(pa.int64()))],
+                    ["rest", "text", "n_chunks", "removed"],
+                )
+
+    out = both.mapInArrow(run, f"rest {schema}, text string, n_chunks long, removed array<long>")
+    return out.select(*("text" if n == "text" else F.col(f"rest.{n}").alias(n) for n in names), "n_chunks", "removed")
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the passages that one of smaller id has."""
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return without_repeats(docs).select(
+    return without_passages(docs).select(
         "doc_id", "n_chunks", "removed", F.length("text").cast("long").alias("n_chars_kept"), "text"
     )

@@ -104,3 +104,54 @@ def test_hot_passage_and_edge_rows(spark):
     # Document 0 keeps it; a row without id is neither changed nor a source.
     assert sorted((r.doc_id is None, r.doc_id) for r in got if passage in r.text) == [(False, 0), (True, None)]
     assert sub.without_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def searched(rows):
+    """Words of each text that lie in no 50 words in a row of a text of smaller id, by search."""
+    texts = {i: " " + " ".join((t or "").split()) + " " for i, t in rows}
+    out = {}
+    for i, text in rows:
+        w = (text or "").split()
+        gone = set()
+        for k in range(len(w) - 49):
+            run = " " + " ".join(w[k : k + 50]) + " "
+            if any(j < i and run in texts[j] for j in texts):
+                gone |= set(range(k, k + 50))
+        out[i] = [x for k, x in enumerate(w) if k not in gone]
+    return out
+
+
+def test_passages_by_true_substring_search(spark):
+    """Every passage of 50 words goes whole, wherever chunks would end; nothing else does."""
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdeäß漢") for _ in range(rng.randrange(1, 9))) for _ in range(3000)]
+
+    def prose(k):
+        return " ".join(rng.choice(words) for _ in range(k))
+
+    rows = [(i, prose(150)) for i in range(40)]
+    for i in range(40, 160):
+        source = rows[i % 40][1].split()
+        a, k = rng.randrange(0, 70), rng.choice([40, 48, 49, 50, 51, 53, 60, 80])
+        rows.append((i, f"{prose(rng.randrange(0, 40))} {'  '.join(source[a : a + k])}\n{prose(rng.randrange(0, 40))}"))
+    one, two = rows[3][1].split(), rows[5][1].split()
+    rows += [(160, " ".join([*one[:49], *two[:49], *one[60:100]])), (161, prose(60) + " the" * 49), (162, prose(30) + " the" * 49)]
+    rows += [(163, "la " * 200), (164, prose(9) + " la" * 70), (165, rows[7][1].upper()), (166, None), (167, ""), (None, rows[0][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in sub.without_passages(docs.repartition(5)).collect()}
+    want = searched([r for r in rows if r[0] is not None])
+    assert len(got) == len(rows) and got[None].text == rows[-1][1] and got[166].text is None
+    assert {i: (r.text or "").split() for i, r in got.items() if i is not None} == want
+    for i, text in rows:
+        kept, at = "", 0
+        for a, b in zip(got[i].removed[::2], got[i].removed[1::2]):
+            kept, at = kept + text[at:a], b
+        assert text is None or kept + text[at:] == got[i].text
+
+
+def test_rows_of_one_id_with_several_texts(spark):
+    passage = corpus()[1][0]
+    rows = [(1, passage), (2, f"{passage} end"), (2, corpus(2)[1][0])]
+    got = sub.without_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.text for r in got) == sorted([passage, "end", rows[2][1]])
+    assert sub.without_passages(spark.createDataFrame([], "doc_id long, text string")).count() == 0
