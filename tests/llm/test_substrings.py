@@ -155,3 +155,12 @@ def test_rows_of_one_id_with_several_texts(spark):
     got = sub.without_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(r.text for r in got) == sorted([passage, "end", rows[2][1]])
     assert sub.without_passages(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_words_of_several_sources_stay(spark):
+    """Shorter runs of several earlier documents make no passage, however they follow."""
+    rng = random.Random(8)
+    sources = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(49))) for i in range(4)]
+    rows = sources + [(4, " ".join(t for _, t in sources)), (5, "the " * 40), (6, "so " + "the " * 49)]
+    got = {r.doc_id: r for r in sub.without_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: r.text for i, r in got.items()} == dict(rows) and not any(r.removed for r in got.values())
