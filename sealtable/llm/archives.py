@@ -5,8 +5,9 @@ of the header lines that follow; version 1 has five fields, version 2 ten, and t
 always the declared length of the record's content.  The converter reads the lines by the
 version their file declares and the content by its length, and makes up what WARC asks
 for: a record id (a UUID of file, offset and header line, so a repeated task gives the
-same one), an ISO date from the 8 to 14 digits, a type from the URL's scheme, and SHA-1
-digests of block and payload.  Of records with equal payloads of at least ``min_bytes``,
+same one), an ISO date from the 8 to 14 digits, a type, and SHA-1 digests of block and
+payload.  The type comes from the URL's scheme; the query, all of whose pages have an HTTP
+head, also takes HTTP messages of other schemes as responses.  Of records with equal payloads of at least ``min_bytes``,
 the one with the largest page id is the response, and the others revisit it without a
 body.  Responses are found by a grouped maximum of digests; a digest that very many
 records share is dealt over parts, so no task gets them all.
@@ -27,6 +28,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -150,7 +152,8 @@ def parse_arc(raw: bytes, version: int | None = None) -> Iterator[dict]:
         content = raw[stop + 1 : stop + 1 + size]
         if len(content) != size:
             raise ValueError("an ARC record is shorter than it declares")
-        if line.startswith("filedesc:"):
+        # Beyond the first record, a page may have such a URL.
+        if line.startswith("filedesc:") and (version is None or not is_http(content)):
             version = int(content.split(b" ", 1)[0])
             if ARC_FIELDS.get(version) != content.split(b"\n")[1].decode() or ARC_FIELDS[version] != " ".join(fields):
                 raise ValueError("an ARC file's header lines are not those of its version")
@@ -175,6 +178,11 @@ def sha1(raw: bytes) -> str:
     return base64.b32encode(hashlib.sha1(raw).digest()).decode()
 
 
+def is_http(content: bytes) -> bool:
+    """Whether a record's content begins with the status line of an HTTP response."""
+    return re.match(rb"HTTP/\d+(\.\d+)? \d{3}[ \r\n]", content) is not None
+
+
 def http_parts(content: bytes) -> tuple[dict[str, str], bytes, bytes]:
     """Fields, head and body of an HTTP message."""
     head, gap, body = content.partition(b"\r\n\r\n")
@@ -188,9 +196,10 @@ _CONVERTED = (
 )
 
 
-def converted(files: DataFrame, bodies: bool = True) -> DataFrame:
+def converted(files: DataFrame, bodies: bool = True, by_content: bool = False) -> DataFrame:
     """WARC records synthesised from ARC files ``(path, content)``; without ``bodies``
-    their columns ``head`` and ``body`` are null."""
+    their columns ``head`` and ``body`` are null.  With ``by_content`` every HTTP message
+    is a response, whatever its URL's scheme."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema(
@@ -207,6 +216,8 @@ def converted(files: DataFrame, bodies: bool = True) -> DataFrame:
                     for r in parse_arc(part, version):
                         version = r["version"]
                         kind = record_type(r["URL"])
+                        if by_content and is_http(r["content"]):
+                            kind = "response"
                         head, body, page = b"", r["content"], None
                         if kind == "response":
                             found, head, body = http_parts(r["content"])
@@ -360,12 +371,14 @@ def resolved(records: DataFrame) -> DataFrame:
     return plain.select(*names).unionByName(found.select(*names))
 
 
-def convert(spark: SparkSession, arc_folder: str, warc_folder: str, min_bytes: int = MIN_BYTES) -> None:
+def convert(
+    spark: SparkSession, arc_folder: str, warc_folder: str, min_bytes: int = MIN_BYTES, by_content: bool = False
+) -> None:
     """Converts a folder of ARC files to WARC files.  They are read twice: for the digests,
     which are small, and for the records."""
     files = read_files(spark, arc_folder)
-    chiefs = common.stored(responses(converted(files, bodies=False), min_bytes), "chiefs")
-    records = converted(files).where("not meta")
+    chiefs = common.stored(responses(converted(files, bodies=False, by_content=by_content), min_bytes), "chiefs")
+    records = converted(files, by_content=by_content).where("not meta")
     _lines(warc_records(records, chiefs), warc_folder)
 
 
@@ -374,7 +387,7 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     arc, warc = work_path(spark, "arc"), work_path(spark, "warc")
     pages = common.table(spark, sf_dir, "pages").select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     _lines(arc_records(pages), arc)
-    convert(spark, arc, warc)
+    convert(spark, arc, warc, by_content=True)
     return resolved(common.stored(read_warc(spark, warc), "records")).drop("record_id", "url")
 
 

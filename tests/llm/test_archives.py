@@ -100,3 +100,10 @@ def test_given_pages(spark):
     sf_dir = "/root/testdata/sf0.01"
     rows = [(p.page_id, p.url, p.html) for p in common.table(spark, sf_dir, "pages").collect()]
     assert sorted(map(tuple, archives.op1_warc(spark, sf_dir).collect())) == sorted(expected(rows))
+
+
+def test_query_returns_pages_of_any_url(spark):
+    rows = [*PAGES, (9, "ftp://f/x", "<p>one</p>"), (10, "/x", "relative"), (11, "example.com/x", None), (12, "filedesc://x", "twelve")]
+    sf_dir = work_path(spark, "tables")
+    spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3).write.parquet(f"{sf_dir}/pages.parquet")
+    assert sorted(map(tuple, archives.op1_warc(spark, sf_dir).collect())) == sorted(expected(rows))
