@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sealtable.session import work_path
@@ -52,6 +52,28 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def placed(df: DataFrame, group: list[str], order: list[str], label: str, name: str) -> DataFrame:
+    """The rows with their place, from 0, in their group.  Groups may have any size: rows are
+    dealt by ranges of group and order, and one count per group and range is summed up.  The
+    ordered rows are written to the shared folder, as both steps need the same ranges.  Rows
+    equal in ``group`` and ``order`` get places in no particular order."""
+    keys = [*group, *order, "_tie"]
+    rows = stored(
+        df.withColumn("_tie", F.monotonically_increasing_id())
+        .repartitionByRange(*keys)
+        .sortWithinPartitions(*keys)
+        .select(*df.columns, F.spark_partition_id().alias("_range"), F.monotonically_increasing_id().alias("_at")),
+        label,
+    )
+    key = F.struct("_range", *group).alias("_key")  # a null equals itself in this form
+    counts = rows.groupBy(key).agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    earlier = Window.partitionBy(*[F.col("_key")[c] for c in group], F.lit(0)).orderBy("_key._range")
+    before = F.sum("_n").over(earlier.rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select("_key", (F.coalesce(before, F.lit(0)) - F.col("_first")).alias("_start"))
+    found = rows.withColumn("_key", key).join(starts, "_key")
+    return found.select(*df.columns, (F.col("_start") + F.col("_at")).alias(name))
+
+
 def small(df: DataFrame) -> DataFrame:
     """The frame with a broadcast hint if a count shows it is small, else as it is."""
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
