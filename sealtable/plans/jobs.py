@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,6 +11,8 @@ from pyspark.sql import types as T
 from sealtable.functions.cipher import AES_CBC, PLAIN_TEXT, seal, unseal
 from sealtable.operators.keyring import Keyring
 from sealtable.operators.relational import young_developers
+from sealtable.operators.skipping import Between, Equal, read_where
+from sealtable.sources.columns import rekeyed_columns, scan_columns, write_blocks
 from sealtable.sources.readers import read_table, scan_sealed
 from sealtable.sources.writers import spread, write_sealed, write_table
 
@@ -30,11 +34,25 @@ def transcode(
     keep: Column | None = None,
     codec: str | None = None,
     multi_line: bool = False,
+    columns: Sequence[str] | None = None,
+    index: str | None = None,
+    tests: Sequence[Equal | Between] = (),
 ) -> None:
-    """Read a table in one crypto mode and write it in another, optionally keeping only some rows."""
+    """Read a table in one crypto mode and write it in another, optionally keeping only some
+    rows and columns.  With an ``index`` of a table in the ``columns`` layout, blocks that
+    cannot hold a row of ``tests`` are not opened."""
     if source.rstrip("/") == target.rstrip("/"):
         raise ValueError("input and output must be different folders")
-    table = read_table(spark, source, schema, keyring, input_mode, input_layout, fmt, input_partitions, codec, multi_line)
+    if index is not None:
+        if (input_mode, input_layout) != (AES_CBC, "columns") or keyring is None:
+            raise ValueError("only an encrypted table in the columns layout has an index")
+        table = read_where(spark, source, index, keyring, schema, tests, columns)
+    else:
+        table = read_table(
+            spark, source, schema, keyring, input_mode, input_layout, fmt, input_partitions, codec, multi_line, columns
+        )
+        for test in tests:
+            table = table.where(test.rows())
     if keep is not None:
         table = table.where(keep)
     write_table(
@@ -67,7 +85,8 @@ def query_table(
     **options,
 ) -> None:
     """Encrypted table in, filtered rows out, encrypted again."""
-    keep = young_developers() if keep is None else keep
+    if keep is None and not options.get("tests"):
+        keep = young_developers()
     transcode(spark, source, target, schema, AES_CBC, AES_CBC, keyring, keep=keep, **options)
 
 
@@ -98,5 +117,10 @@ def rekey_table(
     save_mode: str = "errorifexists",
 ) -> None:
     """Rotate a table to the active key, block by block and without a shuffle."""
+    if layout == "columns":
+        bodies = sum(c.startswith("c") for c in spark.read.parquet(source).columns)
+        moved = rekeyed_columns(scan_columns(spark, source, range(bodies)), keyring)
+        write_blocks(spread(moved, partitions), target, save_mode)
+        return
     moved = rekeyed(scan_sealed(spark, source, layout), keyring)
     write_sealed(spread(moved, partitions), target, layout, save_mode)

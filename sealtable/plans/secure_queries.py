@@ -6,6 +6,8 @@ folder, and works on the stored ciphertext.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,8 +15,10 @@ from sealtable.functions import payload
 from sealtable.functions.cipher import AES_CBC, PLAIN_TEXT
 from sealtable.operators.keyring import Keyring
 from sealtable.operators.relational import count_matching, first_rows, young_developers
+from sealtable.operators.skipping import Between, Equal, build_index, read_where
 from sealtable.plans import jobs, runs
 from sealtable.session import work_path
+from sealtable.sources.columns import count_rows, open_columns, scan_columns
 from sealtable.sources.people import people_columns
 from sealtable.sources.readers import open_sealed, read_table, scan_sealed
 from sealtable.sources.writers import write_table
@@ -82,6 +86,57 @@ def secure_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sealed_copy(table(spark, sf_dir, "orders")).select("o_orderkey", "o_orderdate", "o_orderpriority")
 
 
+def secure_projection_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two of eleven columns of the columnar layout; the other bodies are not read."""
+    lineitem, keyring = table(spark, sf_dir, "lineitem"), session_keyring(spark)
+    path = stored(lineitem, keyring, "columns")
+    return read_table(spark, path, lineitem.schema, keyring, layout="columns", columns=["l_orderkey", "l_shipdate"])
+
+
+def secure_count_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A count of all rows that opens nothing."""
+    keyring = session_keyring(spark)
+    return count_rows(spark, stored(table(spark, sf_dir, "lineitem"), keyring, "columns"))
+
+
+def skipping(name: str, cluster_by: str, indexed: list[str], tests: list[Equal | Between], block_rows: int, columns: list[str] | None = None):
+    """Rows of a clustered and indexed table; blocks without a match stay closed."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        df, keyring = table(spark, sf_dir, name), session_keyring(spark)
+        path, index = stored(df, keyring, "columns", cluster_by=[cluster_by], block_rows=block_rows), work_path(spark, "index")
+        build_index(spark, path, index, keyring, df.schema, indexed)
+        return read_where(spark, path, index, keyring, df.schema, tests, columns)
+
+    return query
+
+
+def skipping_to_ciphertext(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship query on the columnar layout: skip, open, filter, seal again, open for the caller."""
+    customer, keyring = table(spark, sf_dir, "customer"), session_keyring(spark)
+    path = stored(customer, keyring, "columns", cluster_by=["c_mktsegment", "c_acctbal"], block_rows=256)
+    index, target = work_path(spark, "index"), work_path(spark, "result")
+    build_index(spark, path, index, keyring, customer.schema, ["c_mktsegment", "c_acctbal"])
+    tests = [Equal("c_mktsegment", "BUILDING"), Between("c_acctbal", 0.0, 5000.0)]
+    jobs.query_table(
+        spark, path, target, keyring, customer.schema, input_layout="columns", output_layout="columns", index=index, tests=tests
+    )
+    return read_table(spark, target, customer.schema, keyring, layout="columns")
+
+
+def rekey_columns_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A columnar table under a new key, read by its old index through what lies under that key."""
+    orders, keyring = table(spark, sf_dir, "orders"), new_keyring(spark)
+    source, target, index = stored(orders, keyring, "columns"), work_path(spark, "rekeyed"), work_path(spark, "index")
+    build_index(spark, source, index, keyring, orders.schema, ["o_orderstatus"])
+    keyring = keyring.add_key()
+    jobs.rekey_table(spark, source, target, keyring, layout="columns")
+    moved = scan_columns(spark, target, range(len(orders.columns))).where(F.col("key_id") == keyring.active_id)
+    late = read_where(spark, target, index, keyring, orders.schema, [Equal("o_orderstatus", "O")])
+    other = open_columns(moved, keyring, orders.schema).where("o_orderstatus <> 'O'")
+    return late.unionByName(other)
+
+
 def roundtrip(name: str, layout: str = "line", **options):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         return sealed_copy(table(spark, sf_dir, name), layout, **options)
@@ -89,8 +144,8 @@ def roundtrip(name: str, layout: str = "line", **options):
     return query
 
 
-def roundtrip_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = sealed_copy(table(spark, sf_dir, "embeddings"))
+def roundtrip_embeddings(spark: SparkSession, sf_dir: str, layout: str = "line") -> DataFrame:
+    vectors = sealed_copy(table(spark, sf_dir, "embeddings"), layout)
     return vectors.select("vec_id", "label", F.posexplode("embedding").alias("pos", "v")).select(
         "vec_id", "label", "pos", F.col("v").cast("double").alias("v")
     )
@@ -350,6 +405,24 @@ QUERIES = {
     "roundtrip_single_rows_customer": roundtrip("customer", block_bytes=0),
     "roundtrip_zstd_lineitem": roundtrip("lineitem", "parquet", codec="zstd"),
     "roundtrip_zstd_documents": roundtrip("documents", codec="zstd"),
+    **{f"roundtrip_columns_{t}": roundtrip(t, "columns") for t in ("lineitem", "events", "documents", "pages")},
+    "roundtrip_columns_zstd_lineitem": roundtrip("lineitem", "columns", codec="zstd"),
+    "roundtrip_columns_embeddings": lambda spark, sf_dir: roundtrip_embeddings(spark, sf_dir, "columns"),
+    "secure_projection_columns": secure_projection_columns,
+    "secure_count_columns": secure_count_columns,
+    "skipping_range_lineitem": skipping(
+        "lineitem", "l_orderkey", ["l_orderkey", "l_returnflag"],
+        [Between("l_orderkey", 1000, 1400), Equal("l_returnflag", "R")], 2048,
+    ),
+    "skipping_value_orders": skipping(
+        "orders", "o_custkey", ["o_custkey"], [Equal("o_custkey", 77)], 512, ["o_orderkey", "o_totalprice"]
+    ),
+    "skipping_dates_events": skipping(
+        "events", "ts", ["ts", "event_type"],
+        [Between("ts", dt.datetime(2024, 1, 2), dt.datetime(2024, 1, 3)), Equal("event_type", "click")], 1024,
+    ),
+    "skipping_to_ciphertext": skipping_to_ciphertext,
+    "rekey_columns_orders": rekey_columns_orders,
     "roundtrip_json_events": lambda spark, sf_dir: _json_copy(table(spark, sf_dir, "events")),
     "bulk_encrypt_orders": bulk_encrypt_orders,
     "bulk_decrypt_orders": bulk_decrypt_orders,
@@ -390,11 +463,25 @@ ORACLES = {
         select vec_id, label, cast(generate_subscripts(embedding, 1) - 1 as integer) as pos,
                cast(unnest(embedding) as double) as v
         from embeddings""",
+    "roundtrip_columns_embeddings": """
+        select vec_id, label, cast(generate_subscripts(embedding, 1) - 1 as integer) as pos,
+               cast(unnest(embedding) as double) as v
+        from embeddings""",
     "roundtrip_parquet_lineitem": "select * from lineitem",
     "roundtrip_parquet_documents": "select * from documents",
     "roundtrip_single_rows_customer": "select * from customer",
     "roundtrip_zstd_lineitem": "select * from lineitem",
     "roundtrip_zstd_documents": "select * from documents",
+    **{f"roundtrip_columns_{t}": f"select * from {t}" for t in ("lineitem", "events", "documents", "pages")},
+    "roundtrip_columns_zstd_lineitem": "select * from lineitem",
+    "secure_projection_columns": "select l_orderkey, l_shipdate from lineitem",
+    "secure_count_columns": "select count(*) as n from lineitem",
+    "skipping_range_lineitem": "select * from lineitem where l_orderkey between 1000 and 1400 and l_returnflag = 'R'",
+    "skipping_value_orders": "select o_orderkey, o_totalprice from orders where o_custkey = 77",
+    "skipping_dates_events": """
+        select * from events where ts between timestamp '2024-01-02' and timestamp '2024-01-03' and event_type = 'click'""",
+    "skipping_to_ciphertext": "select * from customer where c_mktsegment = 'BUILDING' and c_acctbal between 0 and 5000",
+    "rekey_columns_orders": "select * from orders",
     "roundtrip_json_events": "select * from events",
     "bulk_encrypt_orders": "select * from orders",
     "bulk_decrypt_orders": "select * from orders",

@@ -1,7 +1,9 @@
-"""Sources: encrypted tables in three layouts and plain CSV."""
+"""Sources: encrypted tables in four layouts and plain CSV."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,6 +12,7 @@ from sealtable.functions import payload
 from sealtable.functions.cipher import AES_CBC, PLAIN_TEXT, bind, decrypt_bytes, unseal_marked, unseal_text
 from sealtable.operators.keyring import Keyring
 from sealtable.sources.blocks import unpack_lines
+from sealtable.sources.columns import open_columns, positions_of, scan_columns
 
 SEALED_GLOB = "*.csv.cbc"
 
@@ -121,14 +124,24 @@ def read_table(
     partitions: int | None = None,
     codec: str | None = None,
     multi_line: bool = False,
+    columns: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Read an encrypted or a plain table, whichever ``crypto_mode`` says."""
+    """Read an encrypted or a plain table, whichever ``crypto_mode`` says.  With ``columns``
+    only these are returned; the ``columns`` layout then opens nothing else."""
+    if columns is not None and not (layout == "columns" and crypto_mode == AES_CBC):
+        whole = read_table(spark, path, schema, keyring, crypto_mode, layout, fmt, partitions, codec, multi_line)
+        return whole.select(*[payload.column(c) for c in columns])
     if crypto_mode == PLAIN_TEXT:
         return read_plain(spark, path, schema, partitions, multi_line)
     if crypto_mode != AES_CBC:
         raise ValueError(f"unknown crypto mode {crypto_mode!r}")
     if keyring is None:
         raise ValueError("an encrypted table needs a keyring")
+    if layout == "columns":
+        schema = payload.as_schema(schema)
+        columns = schema.names if columns is None else list(columns)
+        scan = gathered(scan_columns(spark, path, positions_of(schema, columns)), partitions)
+        return open_columns(scan, keyring, schema, columns)
     if layout == "file":
         return open_files(gathered(find_files(spark, path), partitions), keyring, schema)
     return open_sealed(scan_sealed(spark, path, layout, partitions), keyring, schema, fmt, codec)

@@ -4,6 +4,7 @@ Layouts of an encrypted table:
 
 ``line``     text rows ``<key_id> <base64(IV || CBC(check || schema mark || block))>``
 ``parquet``  the same without base64: columns ``key_id``, ``body``
+``columns``  one row per block with a ciphertext for each column, so that a reader opens few
 ``file``     whole CSV files with header, one ciphertext each, for exchange
 
 A block holds many rows.  All layouts are written without a shuffle.
@@ -11,6 +12,8 @@ A block holds many rows.  All layouts are written without a shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +22,7 @@ from sealtable.functions.cipher import AES_CBC, PLAIN_TEXT, encrypt_bytes, marke
 from sealtable.operators.keyring import Keyring
 from sealtable.session import work_path
 from sealtable.sources.blocks import BLOCK_BYTES, pack_lines
+from sealtable.sources.columns import clustered, seal_columns, write_blocks
 
 FILE_BYTES = 64 * 1024 * 1024
 # Rows of a plain file whose values may have line breaks.
@@ -78,8 +82,13 @@ def write_table(
     block_bytes: int = BLOCK_BYTES,
     codec: str | None = None,
     multi_line: bool = False,
+    cluster_by: Sequence[str] = (),
+    block_rows: int | None = None,
 ) -> None:
-    """Write ``df`` encrypted or plain, in ``partitions`` files when that is given."""
+    """Write ``df`` encrypted or plain, in ``partitions`` files when that is given.  With
+    ``cluster_by`` rows are first sorted by ranges of these columns."""
+    if cluster_by:
+        df = clustered(df, cluster_by)
     if crypto_mode == PLAIN_TEXT:
         write_plain(df, path, partitions, have_partitions, save_mode, multi_line)
         return
@@ -91,6 +100,10 @@ def write_table(
         write_files(spread(df, partitions, have_partitions), path, keyring, save_mode)
         return
     # Only ciphertext is exchanged when the number of files is fixed.
+    if layout == "columns":
+        sealed = seal_columns(df, keyring, **({"block_rows": block_rows} if block_rows else {}), codec=codec)
+        write_blocks(spread(sealed, partitions, have_partitions), path, save_mode)
+        return
     sealed = seal_rows(df, keyring, fmt, block_bytes, codec)
     write_sealed(spread(sealed, partitions, have_partitions), path, layout, save_mode)
 
