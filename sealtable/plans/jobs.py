@@ -13,8 +13,10 @@ from sealtable.operators.keyring import Keyring
 from sealtable.operators.relational import young_developers
 from sealtable.operators.skipping import Between, Equal, read_where
 from sealtable.sources.columns import rekeyed_columns, scan_columns, write_blocks
+from sealtable.sources.files import rekey_files
 from sealtable.sources.readers import read_table, scan_sealed
-from sealtable.sources.writers import spread, write_sealed, write_table
+from sealtable.sources.tasks import spread
+from sealtable.sources.writers import write_sealed, write_table
 
 
 def transcode(
@@ -116,7 +118,11 @@ def rekey_table(
     partitions: int | None = None,
     save_mode: str = "errorifexists",
 ) -> None:
-    """Rotate a table to the active key, block by block and without a shuffle."""
+    """Rotate a table to the active key, block by block and without a shuffle; the ``file``
+    layout file by file, and a target that holds some of the files gets the others."""
+    if layout == "file":
+        rekey_files(spark, source, target, keyring, partitions=partitions)
+        return
     if layout == "columns":
         bodies = sum(c.startswith("c") for c in spark.read.parquet(source).columns)
         moved = rekeyed_columns(scan_columns(spark, source, range(bodies)), keyring)

@@ -14,6 +14,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 
 BLOCK_BYTES = 256 * 1024
+# Blocks that go back from a worker together have about so many bytes.
+BATCH_BYTES = 8 * 1024 * 1024
 
 
 def pack_lines(lines: DataFrame, block_bytes: int = BLOCK_BYTES, codec: str | None = None) -> DataFrame:
@@ -30,25 +32,47 @@ def pack_lines(lines: DataFrame, block_bytes: int = BLOCK_BYTES, codec: str | No
         import pyarrow as pa
         import pyarrow.compute as pc
 
+        held: list = []  # slices of lines that make up the open block, whatever batch they came in
+        size = 0
+        zip_ = None if codec is None else pa.Codec(codec).compress
+        newline = pa.scalar("\n", pa.large_string())
+
+        def joined():
+            lines = pa.concat_arrays(held)
+            held.clear()
+            text = pc.binary_join(pa.LargeListArray.from_arrays(pa.array([0, len(lines)], pa.int64()), lines), newline)
+            return text[0].as_buffer()
+
+        def batch_of(blocks: list) -> pa.RecordBatch:
+            if zip_ is None:
+                texts = pa.array([b.to_pybytes() for b in blocks], pa.binary()).cast(pa.string())
+            else:
+                texts = pa.array([zip_(b, asbytes=True) for b in blocks], pa.binary())
+            return pa.RecordBatch.from_arrays([texts], ["block"])
+
         for batch in batches:
-            if not batch.num_rows:
-                continue
             # 64-bit offsets: a batch of long texts may exceed 2 GiB.
             texts = batch.column(0).cast(pa.large_string())
             ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype("int64") + 1)
-            cuts = [0]
-            while cuts[-1] < len(ends):
-                done = ends[cuts[-1] - 1] if cuts[-1] else 0
-                cuts.append(max(cuts[-1] + 1, int(np.searchsorted(ends, done + block_bytes, side="right"))))
-            groups = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), texts)
-            for first in range(0, len(groups), 256):
-                joined = pc.binary_join(groups.slice(first, 256), pa.scalar("\n", pa.large_string()))
-                if codec is None:
-                    packed = joined.cast(pa.string())
-                else:
-                    zip_ = pa.Codec(codec).compress
-                    packed = pa.array([zip_(b.as_buffer(), asbytes=True) for b in joined], pa.binary())
-                yield pa.RecordBatch.from_arrays([packed], ["block"])
+            at, done, ready, ready_bytes = 0, 0, [], 0
+            while at < len(ends):
+                cut = int(np.searchsorted(ends, done + block_bytes - size, side="right"))
+                if cut <= at and not held:
+                    cut = at + 1
+                if cut > at:
+                    held.append(texts.slice(at, cut - at))
+                    size += int(ends[cut - 1]) - done
+                    at, done = cut, int(ends[cut - 1])
+                if at < len(ends) or size >= block_bytes:
+                    ready.append(joined())
+                    ready_bytes, size = ready_bytes + size, 0
+                if ready_bytes >= BATCH_BYTES:
+                    yield batch_of(ready)
+                    ready, ready_bytes = [], 0
+            if ready:
+                yield batch_of(ready)
+        if held:
+            yield batch_of([joined()])
 
     return lines.mapInArrow(pack, "block string" if codec is None else "block binary")
 

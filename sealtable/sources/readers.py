@@ -9,22 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sealtable.functions import payload
-from sealtable.functions.cipher import AES_CBC, PLAIN_TEXT, bind, decrypt_bytes, unseal_marked, unseal_text
+from sealtable.functions.cipher import AES_CBC, PLAIN_TEXT, unseal_marked, unseal_text
 from sealtable.operators.keyring import Keyring
 from sealtable.sources.blocks import unpack_lines
 from sealtable.sources.columns import open_columns, positions_of, scan_columns
-
-SEALED_GLOB = "*.csv.cbc"
-
-
-def gathered(scan: DataFrame, wanted: int | None) -> DataFrame:
-    """A scan brought to ``wanted`` partitions: merged when there are more, spread when there are fewer."""
-    if wanted is None:
-        return scan
-    have = scan.rdd.getNumPartitions()
-    if wanted == have:
-        return scan
-    return scan.coalesce(wanted) if wanted < have else scan.repartition(wanted)
+from sealtable.sources.files import find_files, open_files, read_files  # noqa: F401
+from sealtable.sources.tasks import gathered
 
 
 def scan_sealed(
@@ -67,36 +57,6 @@ def open_sealed(
     return payload.decode(lines, schema, fmt)
 
 
-def find_files(spark: SparkSession, path: str, glob: str = SEALED_GLOB) -> DataFrame:
-    """``(path, length, content)`` of every matching file below ``path``; content is read only if used."""
-    return (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", glob)
-        .option("recursiveFileLookup", "true")
-        .load(path)
-        .select("path", "length", "content")
-    )
-
-
-def open_files(files: DataFrame, keyring: Keyring, schema: T.StructType | str, key_id: int | None = None) -> DataFrame:
-    """Rows of whole-file ciphertexts in column ``content``: header dropped, the rest parsed."""
-    schema = payload.as_schema(schema)
-    wanted = keyring.active_id if key_id is None else key_id
-    sealed = files.select(F.lit(wanted).alias("key_id"), F.col("content").alias("body"))
-    text = decrypt_bytes(F.col("body"), F.col("data_key")).cast("string")
-    rows = F.split(bind(text, _checked_header(schema)), "\r?\n")
-    numbered = keyring.attach(sealed).select(F.posexplode(rows).alias("n", "line"))
-    lines = numbered.where("n > 0 and line <> ''").select("line")
-    return payload.decode(lines, schema, "csv", escape=False)
-
-
-def _checked_header(schema: T.StructType):
-    """A wrong key that happens to decrypt yields no header; so does a file of another table."""
-    header = payload.csv_header(schema)
-    other = F.raise_error(F.lit("file does not start with the header of this table")).cast("string")
-    return lambda t: F.when(F.regexp_extract(t, "^[^\r\n]*", 0) == header, t).otherwise(other)
-
-
 def read_plain(
     spark: SparkSession,
     path: str,
@@ -125,11 +85,15 @@ def read_table(
     codec: str | None = None,
     multi_line: bool = False,
     columns: Sequence[str] | None = None,
+    key_id: int | None = None,
 ) -> DataFrame:
     """Read an encrypted or a plain table, whichever ``crypto_mode`` says.  With ``columns``
-    only these are returned; the ``columns`` layout then opens nothing else."""
+    only these are returned; the ``columns`` layout then opens nothing else.  ``key_id`` is the
+    key of files in the ``file`` layout that do not name theirs."""
     if columns is not None and not (layout == "columns" and crypto_mode == AES_CBC):
-        whole = read_table(spark, path, schema, keyring, crypto_mode, layout, fmt, partitions, codec, multi_line)
+        whole = read_table(
+            spark, path, schema, keyring, crypto_mode, layout, fmt, partitions, codec, multi_line, key_id=key_id
+        )
         return whole.select(*[payload.column(c) for c in columns])
     if crypto_mode == PLAIN_TEXT:
         return read_plain(spark, path, schema, partitions, multi_line)
@@ -143,5 +107,5 @@ def read_table(
         scan = gathered(scan_columns(spark, path, positions_of(schema, columns)), partitions)
         return open_columns(scan, keyring, schema, columns)
     if layout == "file":
-        return open_files(gathered(find_files(spark, path), partitions), keyring, schema)
+        return read_files(spark, path, keyring, schema, key_id, partitions)
     return open_sealed(scan_sealed(spark, path, layout, partitions), keyring, schema, fmt, codec)

@@ -18,13 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sealtable.functions import payload
-from sealtable.functions.cipher import AES_CBC, PLAIN_TEXT, encrypt_bytes, marked, no_newlines, seal
+from sealtable.functions.cipher import AES_CBC, PLAIN_TEXT, marked, no_newlines, seal
 from sealtable.operators.keyring import Keyring
-from sealtable.session import work_path
 from sealtable.sources.blocks import BLOCK_BYTES, pack_lines
 from sealtable.sources.columns import clustered, seal_columns, write_blocks
+from sealtable.sources.files import export_files, seal_files, write_files  # noqa: F401
+from sealtable.sources.tasks import spread
 
-FILE_BYTES = 64 * 1024 * 1024
 # Rows of a plain file whose values may have line breaks.
 MULTI_LINE_ROWS = 100_000
 
@@ -56,19 +56,6 @@ def as_lines(sealed: DataFrame) -> DataFrame:
     )
 
 
-def spread(df: DataFrame, wanted: int | None, have: int | None = None) -> DataFrame:
-    """Bring ``df`` to ``wanted`` partitions at write time.
-
-    Merging a few neighbours needs no shuffle.  Merging many would leave the
-    upstream work to a handful of tasks, so then the rows are exchanged instead.
-    """
-    if wanted is None or wanted == have:
-        return df
-    if have is not None and have // 4 <= wanted < have:
-        return df.coalesce(wanted)
-    return df.repartition(wanted)
-
-
 def write_table(
     df: DataFrame,
     path: str,
@@ -135,54 +122,3 @@ def write_plain(
     if multi_line:
         writer = writer.option("maxRecordsPerFile", MULTI_LINE_ROWS)
     writer.csv(path)
-
-
-def seal_files(df: DataFrame, keyring: Keyring, file_bytes: int = FILE_BYTES) -> DataFrame:
-    """``(name, content)``: whole CSV files of at most ``file_bytes`` or one line, each one
-    ciphertext.  Neighbouring rows are packed as the other layouts pack them, without a
-    shuffle; a file holds rows of one Arrow batch."""
-    lines = df.select(payload.csv_line(df.schema, escape=False).alias("line"))
-    blocks = pack_lines(lines, file_bytes)
-    name = F.format_string("part-%05d-%012d.csv.cbc", F.spark_partition_id(), F.monotonically_increasing_id())
-    body = F.concat(F.lit(payload.csv_header(df.schema) + "\n"), F.col("block"), F.lit("\n"))
-    return blocks.select(
-        name.alias("name"), encrypt_bytes(body.cast("binary"), keyring.active_key()).alias("content")
-    )
-
-
-def write_files(
-    df: DataFrame, target: str, keyring: Keyring, save_mode: str = "errorifexists", file_bytes: int = FILE_BYTES
-) -> None:
-    """Write ``df`` as whole encrypted CSV files in ``target``."""
-    from pyarrow import fs
-
-    if save_mode != "errorifexists":
-        raise ValueError("files are only written to a new folder")
-    store, root = fs.FileSystem.from_uri(target)
-    if store.get_file_info(root).type != fs.FileType.NotFound:
-        raise FileExistsError(f"{target} exists already")
-    staged = work_path(df.sparkSession, "files")
-    seal_files(df, keyring, file_bytes).write.parquet(staged)
-    export_files(df.sparkSession.read.parquet(staged), target)
-
-
-def export_files(files: DataFrame, target: str) -> None:
-    """Store ``(name, content)`` rows as files under ``target``, a folder all executors reach.
-
-    ``files`` must be a written table, so that a repeated task stores the same bytes.
-    """
-
-    def save(rows) -> None:
-        import uuid
-
-        from pyarrow import fs
-
-        store, root = fs.FileSystem.from_uri(target)
-        store.create_dir(root, recursive=True)
-        for row in rows:
-            draft = f"{root}/.{row.name}.{uuid.uuid4().hex}"
-            with store.open_output_stream(draft) as out:
-                out.write(bytes(row.content))
-            store.move(draft, f"{root}/{row.name}")
-
-    files.select("name", "content").foreachPartition(save)
