@@ -19,6 +19,7 @@ from sealtable.operators.skipping import Between, Equal, build_index, read_where
 from sealtable.plans import jobs, runs
 from sealtable.session import work_path
 from sealtable.sources.columns import count_rows, open_columns, scan_columns
+from sealtable.sources.files import find_files, named_files, open_files, read_files
 from sealtable.sources.people import people_columns
 from sealtable.sources.readers import open_sealed, read_table, scan_sealed
 from sealtable.sources.writers import write_table
@@ -268,6 +269,35 @@ def file_layout(name: str):
     return query
 
 
+def file_layout_two_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder of files under two keys, read as one table."""
+    orders, keyring, folder = table(spark, sf_dir, "orders"), new_keyring(spark), work_path(spark, "files")
+    late = F.col("o_orderstatus") == "O"
+    write_table(orders.where(~late), f"{folder}/early", keyring, layout="file")
+    keyring = keyring.add_key()
+    write_table(orders.where(late), f"{folder}/late", keyring, layout="file")
+    return read_table(spark, folder, orders.schema, keyring, layout="file")
+
+
+def file_layout_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of any size read in splits, as files above 128 MB are."""
+    lineitem, keyring = table(spark, sf_dir, "lineitem"), session_keyring(spark)
+    return read_files(spark, stored(lineitem, keyring, "file"), keyring, lineitem.schema, whole_bytes=0)
+
+
+def rekey_files_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rotate whole files, in two runs as after a stop; read what is under the new key."""
+    orders, keyring = table(spark, sf_dir, "orders"), new_keyring(spark)
+    source, target = work_path(spark, "files"), work_path(spark, "rotated")
+    for name, part in (("a", orders.where("o_orderkey % 2 = 0")), ("b", orders.where("o_orderkey % 2 = 1"))):
+        write_table(part, f"{source}/{name}", keyring, layout="file")
+    keyring = keyring.add_key()
+    jobs.rekey_table(spark, f"{source}/a", f"{target}/a", keyring, layout="file")
+    jobs.rekey_table(spark, source, target, keyring, layout="file")
+    named = named_files(find_files(spark, target), keyring).where(F.col("key_id") == keyring.active_id)
+    return open_files(find_files(spark, target).join(named.select("path"), "path", "left_semi"), keyring, orders.schema)
+
+
 def repartition_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files of an encrypted table written in 8, read in 8 and written plain in 8."""
     lineitem, keyring = table(spark, sf_dir, "lineitem"), session_keyring(spark)
@@ -435,6 +465,9 @@ QUERIES = {
     "rewrap_part": rewrap_part,
     "file_layout_nation": file_layout("nation"),
     "file_layout_orders": file_layout("orders"),
+    "file_layout_two_keys": file_layout_two_keys,
+    "file_layout_splits_lineitem": file_layout_splits,
+    "rekey_files_orders": rekey_files_orders,
     "repartition_counts": repartition_counts,
     "people_from_customer": people_from_customer,
     "people_count": people_count,
@@ -502,6 +535,9 @@ ORACLES = {
     "rewrap_part": "select * from part",
     "file_layout_nation": "select * from nation",
     "file_layout_orders": "select * from orders",
+    "file_layout_two_keys": "select * from orders",
+    "file_layout_splits_lineitem": "select * from lineitem",
+    "rekey_files_orders": "select * from orders",
     "repartition_counts": """
         select 'tasks_in' as what, 8 as n union all select 'files_out', 8
         union all select 'rows', count(*) from lineitem""",

@@ -210,3 +210,30 @@ def test_unindexable_column_is_refused(spark, keyring):
     df = spark.createDataFrame([([1], 1)], "a array<int>, b int")
     with pytest.raises(ValueError, match="cannot be indexed"):
         indexed(df, keyring, sealed(df, keyring), ["a"])
+
+
+def test_command_line(spark, capsys):
+    from sealtable.__main__ import main
+    from sealtable.operators.relational import PEOPLE_SCHEMA, young_developers
+    from sealtable.sources.people import people
+
+    keys = ["--primaryKeyPath", work_path(spark, "p"), "--dataKeyPath", work_path(spark, "k"), "--appId", "demo"]
+    plain, sealed_path, index, moved, found, result = (work_path(spark, n) for n in ("plain", "s", "index", "moved", "found", "result"))
+    io = lambda a, b: ["--inputPath", a, "--outputPath", b]
+    columnar = ["--inputLayout", "columns"]
+    main(["generate-keys", *keys], spark)
+    main(["generate-people", "--outputPath", plain, "--rows", "400"], spark)
+    capsys.readouterr()
+    main(["encrypt", *keys, *io(plain, sealed_path), "--outputLayout", "columns", "--clusterBy", "age"], spark)
+    main(["index", *keys, *io(sealed_path, index), "--columns", "age,job"], spark)
+    main(["add-key", *keys], spark)
+    main(["rekey", *keys, *io(sealed_path, moved), "--layout", "columns"], spark)
+    tests = ["--equals", "job=Developer", "--between", "age=20,40"]
+    main(["query", *keys, *io(moved, found), *columnar, "--index", index, *tests, "--outputLayout", "file"], spark)
+    main(["decrypt", *keys, *io(found, result), "--inputLayout", "file"], spark)
+    want = people(spark, 400).where(young_developers())
+    got = read_table(spark, result, PEOPLE_SCHEMA, crypto_mode="plain_text")
+    assert got.exceptAll(want).count() == 0 and got.count() == want.count() > 0
+    main(["query", *keys, *io(moved, work_path(spark, "q")), *columnar, *tests, "--columns", "name"], spark)
+    with pytest.raises(ValueError, match="index"):
+        main(["query", *keys, *io(moved, work_path(spark, "q")), "--index", index, *tests], spark)
