@@ -9,6 +9,7 @@
     rekey            rotate a table to the active data key
     index            index columns of a table in the columns layout, for --equals and --between
     archive          file the text outputs of runs under their ids
+    archive-run      archive all files of one run and decrypt its result from the archive
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from sealtable.functions.cipher import AES_CBC, PLAIN_TEXT
 from sealtable.operators.keyring import Keyring
 from sealtable.operators.relational import PEOPLE_SCHEMA, count_matching, young_developers
 from sealtable.operators.skipping import Between, Equal, build_index, read_where
-from sealtable.plans import jobs, runs
+from sealtable.plans import archive, jobs, runs
 from sealtable.session import builder
 from sealtable.sources.people import SAMPLE_ROWS, people
 from sealtable.sources.readers import read_table
@@ -64,6 +65,11 @@ def parser() -> argparse.ArgumentParser:
     indexed.add_argument("--schema", default=PEOPLE_SCHEMA)
     indexed.add_argument("--columns", required=True, help="names of columns, with commas")
     command("archive", keys=False)
+    whole = command("archive-run")
+    whole.add_argument("--archivePath", required=True)
+    whole.add_argument("--layout", default="file", choices=LAYOUTS)
+    whole.add_argument("--schema", default=PEOPLE_SCHEMA)
+    whole.add_argument("--stdout", default="job-stdout", help="name of the file or folder of printed lines")
     for name, (read, write) in MODES.items():
         p = command(name)
         p.add_argument("--inputEncryptModeValue", default=read, choices=[AES_CBC, PLAIN_TEXT])
@@ -145,6 +151,12 @@ def with_keys(spark: SparkSession, args: argparse.Namespace) -> None:
     if args.command == "rekey":
         jobs.rekey_table(spark, args.inputPath, args.outputPath, keyring, args.layout, args.outputPartitionNum)
         return
+    if args.command == "archive-run":
+        archive.archive_and_decrypt(
+            spark, args.inputPath, args.archivePath, args.outputPath, keyring, args.schema, args.layout, args.stdout,
+            partitions=args.outputPartitionNum,
+        )
+        return
     if args.command == "index":
         build_index(spark, args.inputPath, args.outputPath, keyring, args.schema, args.columns.split(","))
         return

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark import AccumulatorParam, TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sealtable.functions.text import after_last, glob_match
@@ -50,14 +51,43 @@ def archive_runs(df: DataFrame, target: str, path_column: str, glob: str = RUN_G
     )
 
 
+class _ByTask(AccumulatorParam):
+    """Numbers by task; a task that runs again puts the same number in the same place."""
+
+    def zero(self, value: dict) -> dict:
+        return {}
+
+    def addInPlace(self, value1: dict, value2: dict) -> dict:  # noqa: N802
+        value1.update(value2)
+        return value1
+
+
+def counted(df: DataFrame) -> tuple[DataFrame, Callable[[], int]]:
+    """``df``, and a function that tells how many rows of it have been read to their end.
+
+    Each task reports its number of rows under the number of its partition.  Only tasks that
+    succeed report, and one that has to run again, for a lost executor or as a copy of a slow
+    one, reports the same under the same number; hence each row counts once.
+    """
+    found = df.sparkSession.sparkContext.accumulator({}, _ByTask())
+
+    def run(batches: Iterator) -> Iterator:
+        rows = 0
+        for batch in batches:
+            rows += batch.num_rows
+            yield batch
+        found.add({TaskContext.get().partitionId(): rows})
+
+    return df.mapInArrow(run, df.schema), lambda: sum(found.value.values())
+
+
 def logged(spark: SparkSession, log_path: str, app_id: str, job: str, df: DataFrame, write: Callable) -> None:
     """Run ``write(df)`` and append one row about it to the run log.
 
-    Rows are counted while they are written, without a second pass.  A task that
-    Spark repeats may be counted again; the log is a report, not a control total.
+    Rows are counted while they are written, without a second pass, and each once.
     """
-    seen = Observation()
+    rows, n_rows = counted(df)
     started = dt.datetime.now(dt.UTC)
-    write(df.observe(seen, F.count(F.lit(1)).alias("n_rows")))
-    row = (app_id, job, started, dt.datetime.now(dt.UTC), seen.get["n_rows"])
+    write(rows)
+    row = (app_id, job, started, dt.datetime.now(dt.UTC), n_rows())
     spark.createDataFrame([row], LOG_SCHEMA).coalesce(1).write.mode("append").parquet(log_path)

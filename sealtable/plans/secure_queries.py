@@ -16,7 +16,7 @@ from sealtable.functions.cipher import AES_CBC, PLAIN_TEXT
 from sealtable.operators.keyring import Keyring
 from sealtable.operators.relational import count_matching, first_rows, young_developers
 from sealtable.operators.skipping import Between, Equal, build_index, read_where
-from sealtable.plans import jobs, runs
+from sealtable.plans import archive, jobs, runs
 from sealtable.session import work_path
 from sealtable.sources.columns import count_rows, open_columns, scan_columns
 from sealtable.sources.files import find_files, named_files, open_files, read_files
@@ -384,6 +384,31 @@ def archive_by_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def archive_whole_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs with ciphertext, event log, printed lines and hidden files, each archived as a
+    whole and decrypted from the archive; all lines and rows as they are found there."""
+    keyring, found = session_keyring(spark), None
+    archived, plain = work_path(spark, "archive"), work_path(spark, "plain")
+    orders = table(spark, sf_dir, "orders")
+    texts = {
+        "spark-application-": table(spark, sf_dir, "events").select(F.col("user_id").alias("k"), F.concat_ws(" ", "event_id", "event_type").alias("line")),
+        "job-stdout": table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("line")),
+        ".state": table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("line")),
+    }
+    for run in (0, 1):
+        outputs, name = work_path(spark, "outputs"), f"run{run}"
+        for entry, lines in texts.items():
+            target = f"{outputs}/{entry}{name}" if entry.endswith("-") else f"{outputs}/{entry}"
+            lines.where(F.col("k") % 2 == run).select("line").write.text(target)
+        write_table(orders.where(F.col("o_custkey") % 2 == run), f"{outputs}/simplequery", keyring, layout="file")
+        archive.archive_and_decrypt(spark, outputs, archived, plain, keyring, orders.schema)
+        rows = read_table(spark, f"{plain}/{name}", orders.schema, crypto_mode=PLAIN_TEXT)
+        rows = rows.select(F.lit(name).alias("run_id"), F.lit("result").alias("kind"), F.concat_ws(" ", "o_orderkey", "o_custkey").alias("line"))
+        found = rows if found is None else found.unionByName(rows)
+    lines = archive.archived_lines(spark, archived).where(~F.col("name").endswith(".crc"))
+    return found.unionByName(lines.select("run_id", "kind", "line"))
+
+
 def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two logged encryption jobs append one log row each."""
     keyring, log = session_keyring(spark), work_path(spark, "log")
@@ -476,6 +501,7 @@ QUERIES = {
     "people_csv_line": people_csv_line,
     "first_customers": first_customers,
     "archive_by_run": archive_by_run,
+    "archive_whole_run": archive_whole_run,
     "run_log": run_log,
 }
 
@@ -551,6 +577,11 @@ ORACLES = {
     "first_customers": "select * from customer order by c_custkey limit 87",
     "archive_by_run": """
         select event_id, ts, value, 'run' || (user_id % 8) as app_id from events where event_type <> 'error'""",
+    "archive_whole_run": """
+        select 'run' || (user_id % 2) as run_id, 'event log' as kind, event_id || ' ' || event_type as line from events
+        union all select 'run' || (c_custkey % 2), 'stdout', c_name from customer
+        union all select 'run' || (s_suppkey % 2), 'hidden', s_name from supplier
+        union all select 'run' || (o_custkey % 2), 'result', o_orderkey || ' ' || o_custkey from orders""",
     "run_log": """
         select 'run-orders' as app_id, 'encrypt' as job, count(*) as n_rows from orders
         union all select 'run-part', 'encrypt', count(*) from part""",
