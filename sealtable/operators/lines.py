@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
-from pyspark import StorageLevel
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from sealtable.functions import payload
 from sealtable.functions import text as tx
 from sealtable.operators.ranking import number_rows
+from sealtable.session import held
 
-# Rows of one document that a single task may have to look at together.
+# Lines after which a task notes how far it is.
 CHUNK_LINES = 65_536
 
 
@@ -69,45 +72,103 @@ def lines_after_marker(
 
     A taken line is consumed, so in a run of adjacent markers every second line is
     taken.  A line is taken exactly if an odd number of markers stands directly before
-    it.  Places are counted, not read off ``order``, which may have gaps.  Documents are
-    cut into chunks; inside one, markers before a line follow from its place and that of
-    the last other line above, and one summary row per chunk (its lines, and the place of
-    its last other line) carries the count into the next.  The numbered lines are read
-    for both, so they are persisted on disk, encrypted like shuffle files; the source is
-    read and decrypted once.
+    it.  Places are counted, not read off ``order``, which may be any column that sorts and
+    may have gaps.
+
+    Rows are dealt by ranges of document and order, so a document of any size spreads over
+    all tasks.  Each task walks its rows once, in stretches of ``chunk_lines``: the count of
+    markers before a line is known unless only markers stand between it and the start of the
+    stretch.  Of each stretch one row tells how many markers it ends in and whether it is
+    nothing but markers; a running sum of these, which starts anew behind every stretch that
+    is more, is what the first lines of the next one lack.  Only taken lines, those few and
+    the rows of the sum are held for the second look.
     """
-    # As a struct, a null document id equals itself in joins too.
-    keyed = lines.withColumn("_doc", F.struct(*doc)).withColumn(
-        "_chunk", F.floor(F.col(order) / F.lit(chunk_lines)).cast("bigint")
-    )
-    inside = Window.partitionBy("_doc", "_chunk").orderBy(order)
-    above = inside.rowsBetween(Window.unboundedPreceding, -1)
-    is_marker = F.coalesce(F.col(column).rlike(marker), F.lit(False))
-    placed = (
-        keyed.withColumn("_other", ~is_marker)
-        .withColumn("_place", F.row_number().over(inside))
-        .withColumn("_above", F.max(F.when(F.col("_other"), F.col("_place"))).over(above))
-        .persist(StorageLevel.DISK_ONLY)
-    )
-
-    chunks = placed.groupBy("_doc", "_chunk").agg(
-        F.count("*").alias("_lines"), F.max(F.when(F.col("_other"), F.col("_place"))).alias("_last")
-    )
-    earlier = Window.partitionBy("_doc").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    counted = chunks.withColumn("_base", F.coalesce(F.sum("_lines").over(earlier), F.lit(0)))
-    # Markers at the end of what lies before a chunk; the first chunk has none before it.
-    ending = F.col("_base") - F.coalesce(F.max(F.col("_base") + F.col("_last")).over(earlier), F.lit(0))
-    carries = counted.withColumn("_carried", ending).where("_carried > 0").select("_doc", "_chunk", "_carried")
-
-    markers_before = F.when(F.col("_above").isNotNull(), F.col("_place") - F.col("_above") - 1).otherwise(
-        F.col("_place") - 1 + F.coalesce("_carried", F.lit(0))
-    )
-    return (
-        placed.join(carries, ["_doc", "_chunk"], "left")
-        .withColumn("_taken", markers_before % 2 == 1)
-        .where("_taken")
-        .select(*lines.columns)
+    extra = "_slice long, _kind int, _run long, _all boolean"
+    schema = T.StructType([*lines.schema, *payload.as_schema(extra)])
+    marked = lines.withColumn("_marker", F.coalesce(F.col(column).rlike(marker), F.lit(False)))
+    ordered = marked.repartitionByRange(*doc, order).sortWithinPartitions(*doc, order)
+    walked = held(ordered.mapInArrow(_marker_walk(list(doc), chunk_lines), schema))
+    key = F.struct(*doc).alias("_doc")  # as a struct, a null document id equals itself in joins too
+
+    # Where a stretch begins with open lines, and where each ends.
+    kind, ending = F.col("_kind"), F.col("_kind") == _END
+    events = walked.where(kind >= _OPEN).groupBy(key, "_slice", ending.alias("_at")).agg(
+        F.max(F.when(ending, F.col("_run")).otherwise(0)).alias("_run"), F.min(~ending | F.col("_all")).alias("_all")
     )
+    earlier = Window.partitionBy("_doc").orderBy("_slice", "_at").rowsBetween(Window.unboundedPreceding, -1)
+    summed = events.withColumn("_sum", F.coalesce(F.sum("_run").over(earlier), F.lit(0)))
+    since = F.coalesce(F.max(F.when(~F.col("_all"), F.col("_sum"))).over(earlier), F.lit(0))
+    carries = summed.withColumn("_carried", F.col("_sum") - since).where("not _at").select("_doc", "_slice", "_carried")
+    found = walked.where(kind <= _OPEN).withColumn("_doc", key).join(carries, ["_doc", "_slice"], "left")
+    odd = (F.col("_run") + F.col("_carried")) % 2 == 1
+    return found.where((kind == _TAKEN) | odd).select(*lines.columns)
+
+
+# What a walked row is: a line that is taken, one for which that depends on the stretches
+# before, and the last line of a stretch, which carries its count.
+_TAKEN, _OPEN, _END = 0, 1, 2
+
+
+def _marker_walk(doc: list[str], chunk_lines: int):
+    """The walk over one task's rows, which are in order; see :func:`lines_after_marker`."""
+
+    def walk(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        def changes(rows: pa.RecordBatch, before: pa.RecordBatch | None) -> np.ndarray:
+            """Whether each row is of another document than the row before; the first row of a
+            stretch counts as of the same."""
+            both = rows if before is None else pa.Table.from_batches([before, rows]).combine_chunks()
+            other = np.zeros(rows.num_rows, bool)
+            at = 1 if before is None else 0
+            for name in doc:
+                column = both.column(name)
+                column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+                a, b = column.slice(0, len(column) - 1), column.slice(1)
+                # Two nulls are equal, a null and a value are not.
+                known = pc.fill_null(pc.not_equal(a, b), False).to_numpy(zero_copy_only=False)
+                other[at:] |= known | (pc.is_null(a).to_numpy(zero_copy_only=False) != pc.is_null(b).to_numpy(zero_copy_only=False))
+            return other
+
+        def noted(rows: pa.RecordBatch, kinds, runs, alls) -> pa.RecordBatch:
+            n = rows.num_rows
+            names = [c for c in rows.schema.names if c != "_marker"]
+            more = [pa.array(np.full(n, number), pa.int64()), pa.array(kinds, pa.int32()), pa.array(runs, pa.int64()), pa.array(alls, pa.bool_())]
+            return pa.RecordBatch.from_arrays([*[rows.column(c) for c in names], *more], [*names, "_slice", "_kind", "_run", "_all"])
+
+        number = TaskContext.get().partitionId() << 33
+        last: pa.RecordBatch | None = None  # last row of the stretch so far
+        size, run, only, in_first = 0, 0, True, True
+        for batch in batches:
+            at = 0
+            while at < batch.num_rows:
+                rows = batch.slice(at, chunk_lines - size)
+                n = rows.num_rows
+                at, size = at + n, size + n
+                new, is_marker = changes(rows, last), rows.column("_marker").to_numpy(zero_copy_only=False)
+                place = np.arange(n)
+                start = np.maximum.accumulate(np.where(new, place, -1))
+                other = np.r_[-1, np.maximum.accumulate(np.where(is_marker, -1, place))][:-1]
+                goes_on = (start < 0) & (other < 0)
+                runs = np.where(goes_on, place + run, place - 1 - np.maximum(other, start - 1))
+                is_open = goes_on & only & in_first
+                wanted = is_open | (runs % 2 == 1)
+                if wanted.any():
+                    some = rows.filter(pa.array(wanted))
+                    yield noted(some, np.where(is_open[wanted], _OPEN, _TAKEN), runs[wanted], np.zeros(wanted.sum(), bool))
+                run = int(runs[-1]) + 1 if is_marker[-1] else 0
+                only = bool(goes_on[-1] and is_marker[-1] and only)
+                in_first = bool(in_first and start[-1] < 0)
+                last = rows.slice(n - 1, 1)
+                if size == chunk_lines:
+                    yield noted(last, [_END], [run], [only and in_first])
+                    number, last, size, run, only, in_first = number + 1, None, 0, 0, True, True
+        if last is not None:
+            yield noted(last, [_END], [run], [only and in_first])
+
+    return walk
 
 
 def with_sort_number(lines: DataFrame, delimiter: str, n: int, column: str = "line") -> DataFrame:

@@ -10,10 +10,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sealtable.session import held
+
 
 def number_rows(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str = "row_no") -> DataFrame:
     """Add the 1-based place of each row within its group.
@@ -27,12 +28,11 @@ def number_rows(df: DataFrame, group: Sequence[str], order: Sequence[str], name:
     executor is lost.  No job runs while the plan is built.
     """
     keys = [*group, *order, "_tie"]
-    stored = (
+    stored = held(
         df.withColumn("_tie", F.monotonically_increasing_id())
         .repartitionByRange(*keys)
         .sortWithinPartitions(*keys)
         .select(*df.columns, F.spark_partition_id().alias("_slice"), F.monotonically_increasing_id().alias("_seq"))
-        .persist(StorageLevel.DISK_ONLY)
     )
     slices = stored.groupBy(*group, "_slice").agg(F.count("*").alias("_n"), F.min("_seq").alias("_first"))
     earlier = Window.partitionBy(*(group or [F.lit(0)])).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings that matter for every job of this package.  Shuffle and spill files
 # hold decrypted rows, so they are encrypted at rest.
@@ -61,3 +62,22 @@ def shared_folder(spark: SparkSession) -> str:
 def work_path(spark: SparkSession, label: str) -> str:
     """A path under the shared folder that no other run uses."""
     return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex[:12]}"
+
+
+_held: dict[str, list[DataFrame]] = {}
+
+
+def held(df: DataFrame) -> DataFrame:
+    """Rows that an operator looks at twice, kept on the executors' disks, where Spark encrypts
+    them like its shuffle files, until :func:`release`."""
+    _held.setdefault(df.sparkSession.sparkContext.applicationId, []).append(df.persist(StorageLevel.DISK_ONLY))
+    return df
+
+
+def release(spark: SparkSession) -> int:
+    """Give up what operators hold for results that are no longer needed; a result that is read
+    afterwards is computed again.  Long sessions call this between jobs."""
+    kept = _held.pop(spark.sparkContext.applicationId, [])
+    for df in kept:
+        df.unpersist()
+    return len(kept)

@@ -7,11 +7,13 @@ import random
 import re
 
 import pytest
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from sealtable.functions import text as tx
 from sealtable.operators import lines as ln
 from sealtable.operators.ranking import number_rows
+from sealtable.plans import runs
 
 
 def values(spark, expr, *inputs):
@@ -283,3 +285,77 @@ def test_joined_items(spark, skewed, max_items):
         items = sorted((p, i) for h, p, i in rows if h == g and p is not None)
         assert ",".join(parts) == ",".join("local://" + p for p, _ in items)
         assert all(p.count(",") < max_items for p in parts)
+
+
+def sed(lines, marker="M"):
+    out, k = [], 0
+    while k < len(lines):
+        if lines[k].startswith(marker) and k + 1 < len(lines):
+            out.append(k + 1)
+            k += 1
+        k += 1
+    return out
+
+
+@pytest.mark.parametrize("chunk_lines", [1, 5, 65_536])
+def test_one_document_over_all_tasks_by_microseconds(spark, chunk_lines):
+    """Sparse numbers, one document with nearly all lines, long runs of markers across tasks."""
+    import datetime as dt
+
+    rng = random.Random(chunk_lines)
+    lines, times, now = [], [], dt.datetime(2024, 1, 1)
+    while len(lines) < 3000:
+        lines += rng.choice([["M"] * rng.choice([1, 2, 3, 301]), ["x"] * rng.choice([1, 2, 5])])
+    for _ in lines:
+        now += dt.timedelta(microseconds=rng.randrange(1, 10**9))
+        times.append(now)
+    rows = [("big", t, s) for t, s in zip(times, lines)] + [("a", times[0], "M"), ("z", times[0], "x"), (None, times[1], "M"), (None, times[2], "y")]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc string, at timestamp_ntz, line string").repartition(5)
+    got = ln.lines_after_marker(df, "^M", ["doc"], "at", chunk_lines=chunk_lines)
+    want = [("big", times[k]) for k in sed(lines)] + [(None, times[2])]
+    assert sorted(((r.doc, r["at"]) for r in got.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_no_task_sees_the_whole_document(spark, monkeypatch):
+    """The walk itself reports how many rows of the one document each task had."""
+    rows = spark.sparkContext.accumulator({}, runs._ByTask())
+    plain = ln._marker_walk
+
+    def reporting(doc, chunk_lines):
+        walk = plain(doc, chunk_lines)
+
+        def run(batches):
+            seen = 0
+
+            def noted():
+                nonlocal seen
+                for batch in batches:
+                    seen += batch.num_rows
+                    yield batch
+
+            yield from walk(noted())
+            rows.add({TaskContext.get().partitionId(): seen})
+
+        return run
+
+    monkeypatch.setattr(ln, "_marker_walk", reporting)
+    line = F.when(F.col("id") % 3 == 0, "M").otherwise("x")
+    df = spark.range(0, 20_000, 1, 4).select(F.lit(1).alias("doc_id"), (F.col("id") * 1_000_003).alias("line_no"), line.alias("line"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # 20,000 rows are one task's otherwise
+    try:
+        got = ln.lines_after_marker(df, "^M").count()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == len(sed(["M" if k % 3 == 0 else "x" for k in range(20_000)]))
+    assert len(rows.value) == 8 and sum(rows.value.values()) == 20_000 and max(rows.value.values()) < 5000
+
+
+def test_release_gives_up_what_is_held(spark):
+    from sealtable.session import release
+
+    release(spark)
+    df = spark.createDataFrame([(1, k, "M" if k % 2 else "x") for k in range(10)], "doc_id int, line_no int, line string")
+    result = ln.lines_after_marker(df, "^M")
+    assert result.count() == 4 and release(spark) == 1 and release(spark) == 0
+    assert result.count() == 4
