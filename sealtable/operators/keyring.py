@@ -2,8 +2,8 @@
 
 The primary key is a one-row file ``(provider, app_id, primary_key)``; data keys
 are rows of a keyring table, stored only in wrapped form.  Both enter a plan by
-being read and joined, never as literals.  The keyring table only ever grows:
-adding a key appends a row, and wrapping under a new primary key writes a new table.
+being read and joined, never as literals.  Adding a key appends a row, and wrapping under
+a new primary key writes a new table; no key is ever taken out.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sealtable.functions.cipher import bind, check_value, decrypt_bytes, encrypt_bytes
+from sealtable.operators.ringfiles import MOST_FILES, RingFiles
 
 PRIMARY_SCHEMA = "provider string, app_id string, primary_key binary"
 RING_SCHEMA = (
@@ -56,9 +57,15 @@ class Keyring:
     ) -> Keyring:
         """Write a new primary key and a keyring holding one data key under it.  With
         ``shared`` the ring may exist and hold the keys of other applications."""
+        _check_size(key_bytes)
         _write_primary(spark, primary_path, provider, app_id)
         primary = _read_primary(spark, primary_path, provider, app_id)
-        _append_key(spark, primary, ring_path, 1, provider, app_id, key_bytes, "append" if shared else "errorifexists")
+        files = RingFiles(spark, ring_path, RING_SCHEMA)
+        if not shared and files.exists():
+            raise FileExistsError(f"{ring_path} exists already")
+        if files.claim_id(1, provider, app_id) != 1:
+            raise ValueError(f"{provider}/{app_id} has keys in {ring_path} already")
+        _append_key(spark, primary, ring_path, 1, provider, app_id, key_bytes)
         return cls.open(spark, primary_path, ring_path, app_id, provider)
 
     @classmethod
@@ -95,7 +102,7 @@ class Keyring:
         if found.n == 0 or found.active_id is None:
             raise ValueError(f"no usable data key for {provider}/{app_id} in {ring_path}")
         if found.ids != found.n:
-            ring = _own_rows(spark.read.schema(RING_SCHEMA).parquet(ring_path), provider, app_id)
+            ring = _own_rows(_read_ring(spark, ring_path), provider, app_id)
             twice = ring.groupBy("key_id").count().where("count > 1").orderBy("key_id").limit(10)
             ids = ", ".join(str(r.key_id) for r in twice.collect())
             raise ValueError(f"key ids repeat in {ring_path} ({ids}), or the primary key does in {primary_path}")
@@ -106,16 +113,19 @@ class Keyring:
     def add_key(self, key_bytes: int = 32) -> Keyring:
         """Append a data key; it becomes the active one, older ones keep opening old data.
 
-        Its id is drawn at random, so that two writers who add keys at once do not make
-        the same one.
+        Its id is the next one that no other writer has claimed, also of two who add keys
+        at once.  Now and then the files of the ring are written as one.
         """
-        taken = {self.active_id, 1}
-        while (new := secrets.randbelow((1 << 31) - 2) + 1) in taken:
-            pass
+        _check_size(key_bytes)
+        files = RingFiles(self.spark, self.ring_path, RING_SCHEMA)
+        largest = self._ring().agg(F.max("key_id")).first()[0]
+        new = files.claim_id(largest + 1, self.provider, self.app_id)
         primary = _read_primary(self.spark, self.primary_path, self.provider, self.app_id)
         _append_key(
-            self.spark, primary, self.ring_path, new, self.provider, self.app_id, key_bytes, mode="append"
+            self.spark, primary, self.ring_path, new, self.provider, self.app_id, key_bytes
         )
+        if len(files.current()) > MOST_FILES:
+            files.compact()
         return self.reopened()
 
     def reopened(self) -> Keyring:
@@ -171,7 +181,7 @@ class Keyring:
         return joined.withColumn("data_key", F.coalesce("data_key", missing.cast("binary")))
 
     def _ring(self) -> DataFrame:
-        return _own_rows(self.spark.read.schema(RING_SCHEMA).parquet(self.ring_path), self.provider, self.app_id)
+        return _own_rows(_read_ring(self.spark, self.ring_path), self.provider, self.app_id)
 
 
 def _ring_columns() -> list[str]:
@@ -182,6 +192,10 @@ def _own_rows(df: DataFrame, provider: str, app_id: str) -> DataFrame:
     return df.where((F.col("provider") == provider) & (F.col("app_id") == app_id))
 
 
+def _read_ring(spark: SparkSession, ring_path: str) -> DataFrame:
+    return RingFiles(spark, ring_path, RING_SCHEMA).read()
+
+
 def _read_primary(spark: SparkSession, path: str, provider: str, app_id: str) -> DataFrame:
     return _own_rows(spark.read.schema(PRIMARY_SCHEMA).json(path), provider, app_id)
 
@@ -193,7 +207,7 @@ def _write_primary(spark: SparkSession, path: str, provider: str, app_id: str) -
 
 def _wrapped(spark: SparkSession, primary: DataFrame, ring_path: str, provider: str, app_id: str) -> DataFrame:
     """Keyring rows beside their primary key, a single row that Spark broadcasts by its file size."""
-    ring = _own_rows(spark.read.schema(RING_SCHEMA).parquet(ring_path), provider, app_id)
+    ring = _own_rows(_read_ring(spark, ring_path), provider, app_id)
     return ring.join(primary, ["provider", "app_id"])
 
 
@@ -204,24 +218,25 @@ def _unwrapped(safe: bool = False) -> Column:
     return decrypt_bytes(wrapped, primary)
 
 
+def _check_size(key_bytes: int) -> None:
+    if key_bytes not in (16, 24, 32):
+        raise ValueError("a data key has 16, 24 or 32 bytes")
+
+
 def _append_key(
     spark: SparkSession, primary: DataFrame, ring_path: str, key_id: int, provider: str, app_id: str,
-    key_bytes: int, mode: str,
+    key_bytes: int,
 ) -> None:
-    if key_bytes not in (16, 24, 32):
-        raise ValueError("a data key has 16, 24 or 32 bytes")
     fresh = spark.createDataFrame(
         [(key_id, provider, app_id, bytearray(secrets.token_bytes(key_bytes)))],
         "key_id int, provider string, app_id string, data_key binary",
     )
-    (
+    row = (
         fresh.join(primary, ["provider", "app_id"])
         .withColumn("wrapped_key", encrypt_bytes(F.col("data_key"), F.col("primary_key")))
         .withColumn("kcv", check_value(F.col("data_key")))
         .withColumn("created_at", F.current_timestamp())
         .withColumn("active", F.lit(True))
         .select(*_ring_columns())
-        .coalesce(1)
-        .write.mode(mode)
-        .parquet(ring_path)
     )
+    RingFiles(spark, ring_path, RING_SCHEMA).add(row)

@@ -42,6 +42,8 @@ def number_rows(df: DataFrame, group: Sequence[str], order: Sequence[str], name:
         "_first",
         F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
     )
+    if not group:
+        offsets = F.broadcast(offsets)  # one row per task
     same = [stored["_slice"] == offsets["_s"]]
     same += [stored[c].eqNullSafe(offsets[f"_g{i}"]) for i, c in enumerate(group)]
     numbered = stored.join(offsets, reduce(lambda a, b: a & b, same))
