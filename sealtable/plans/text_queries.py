@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from sealtable.functions import text as tx
 from sealtable.operators import lines as ln
+from sealtable.operators.patterns import containing_any, filled_from, found_strings
 from sealtable.operators.ranking import number_rows
+from sealtable.operators.relational import first_rows
 from sealtable.plans.secure_queries import sealed_copy, table
 
 
@@ -15,6 +17,34 @@ def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ln.split_lines(table(spark, sf_dir, "documents"), "text", "doc_id")
 
 
+def benchmark_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A list of search strings that comes from a table: the longer words of the benchmark."""
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", "[^a-z]+")).alias("word"))
+    return words.where("length(word) >= 6").distinct()
+
+
+def text_filled_from_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of the list turned around, one after the other, each in what the last one left."""
+    words = benchmark_words(spark, sf_dir).select(F.col("word").alias("mark"), F.reverse("word").alias("value"), F.col("word").alias("position"))
+    return filled_from(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", words)
+
+
+def text_containing_any(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return containing_any(document_lines(spark, sf_dir), benchmark_words(spark, sf_dir), needle="word")
+
+
+def text_found_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which words of the list each document has."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = found_strings(docs, benchmark_words(spark, sf_dir), "text", "word")
+    return found.select("doc_id", F.explode("found").alias("word"))
+
+
+def first_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 10,000 orders by customer, out of as many tasks as they need."""
+    return first_rows(sealed_copy(table(spark, sf_dir, "orders")), 10_000, "o_custkey", "o_orderkey", at_once=1000)
+
+
 def text_containing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ln.containing(document_lines(spark, sf_dir), "the th")
 
@@ -257,6 +287,10 @@ _SORTED = rf"""{_OPTIONS},
 
 QUERIES = {
     "text_containing": text_containing,
+    "text_containing_any": text_containing_any,
+    "text_found_strings": text_found_strings,
+    "text_filled_from_table": text_filled_from_table,
+    "first_orders": first_orders,
     "text_matching": text_matching,
     "sealed_text_containing": sealed_text_containing,
     "text_field": text_field,
@@ -287,7 +321,23 @@ QUERIES = {
     "event_routes": event_routes,
 }
 
+_WORDS = """
+    words as (select distinct unnest(regexp_split_to_array(text, '[^a-z]+')) as word from benchmark),
+    list as (select list(word order by word) as ws from words where length(word) >= 6)"""
+
 ORACLES = {
+    "text_containing_any": f"""
+        with {_WORDS},
+        lines as (select doc_id, unnest(string_split(text, chr(10))) as line,
+                         cast(generate_subscripts(string_split(text, chr(10)), 1) - 1 as integer) as line_no from documents)
+        select doc_id, line_no, line from lines, list where len(list_filter(ws, lambda w: contains(line, w))) > 0""",
+    "text_found_strings": f"""
+        with {_WORDS}
+        select doc_id, unnest(list_filter(ws, lambda w: contains(text, w))) as word from documents, list""",
+    "text_filled_from_table": f"""
+        with {_WORDS}
+        select doc_id, list_reduce(list_prepend(text, ws), lambda t, w: replace(t, w, reverse(w))) as text from documents, list""",
+    "first_orders": "select * from orders order by o_custkey, o_orderkey limit 10000",
     "text_containing": f"{_LINES} select * from lines where contains(line, 'the th')",
     "text_matching": f"{_LINES} select * from lines where regexp_matches(line, '^[A-M][a-z]+ (the|de|la) ')",
     "sealed_text_containing": f"{_LINES} select * from lines where contains(line, 'the th')",
