@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -52,6 +53,16 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*frames: DataFrame) -> None:
+    """Delete the tables behind frames made by ``stored``, once nothing that will still be
+    read depends on them."""
+    for df in frames:
+        spark = df.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def placed(df: DataFrame, group: list[str], order: list[str], label: str, name: str) -> DataFrame:
     """The rows with their place, from 0, in their group.  Groups may have any size: rows are
     dealt by ranges of group and order, and one count per group and range is summed up.  The
@@ -103,8 +114,9 @@ def slices(at: np.ndarray, limit: int = SLICE) -> Iterator[tuple[int, int]]:
         first = last
 
 
-# Polynomial hash modulo 2^64 of any span from prefix sums: the base is odd, so it has
-# an inverse and the position can be divided out.
+# Polynomial hash modulo 2^64 of runs of words from prefix sums: the base is odd, so it has
+# an inverse and the position can be divided out.  Only for short runs of hashes: long
+# patterned ones can collide.
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _MASK = (1 << 64) - 1
@@ -137,16 +149,32 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BYTE = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
+# Spans of at most this many bytes are hashed by eights, all at once; longer ones are rare.
+SHORT = 24
+_LANE = mixed(np.arange(1, 5, dtype=np.uint64) * np.uint64(_INVERSE))
+_FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of ``data``; equal bytes give equal hashes."""
-    up, down = _power_tables(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * up[: len(data)], out=sums[1:])
-    length = (end - start).astype(np.uint64)
-    return mixed((sums[end] - sums[start]) * down[start] + length)
+    """A 64-bit hash of each span of ``data``; equal bytes give equal hashes.  Eight bytes are
+    mixed in at a time by a bijection, longer spans are left to xxh3, so no pattern in the
+    bytes makes hashes equal, as one does for polynomials modulo a power of two."""
+    length = (end - start).astype(np.int64)
+    out = mixed(length.astype(np.uint64) ^ _LANE[3])
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eights = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    for lane in range(SHORT // 8):
+        rows = np.flatnonzero((length > 8 * lane) & (length <= SHORT))
+        if not len(rows):
+            break
+        value = eights[start[rows] + 8 * lane] & _FIRST_BYTES[np.minimum(8, length[rows] - 8 * lane)]
+        out[rows] = mixed(out[rows] ^ value) + _LANE[lane]
+    long = np.flatnonzero(length > SHORT)
+    if len(long):
+        view = memoryview(np.ascontiguousarray(data))
+        spans = zip(start[long].tolist(), end[long].tolist())
+        out[long] = np.fromiter((xxhash.xxh3_64_intdigest(view[a:b]) for a, b in spans), np.uint64, len(long))
+    return out
 
 
 _LOWER = np.arange(256, dtype=np.uint8)

@@ -134,7 +134,7 @@ def write_shards(
     made = sequences(docs, length, tasks, domain, key, path)
     width = -(-domain // shards)
     made = made.withColumn("shard", F.floor(F.col("key") / width).cast("int"))
-    made = made.repartition(shards, "shard").sortWithinPartitions("shard", "key")
+    made = made.repartitionById(shards, "shard").sortWithinPartitions("shard", "key")
     # The text writer puts bytes down as they are and ends each record with a line break.
     lines = made.select("shard", F.col("record").cast("string").alias("value"))
     lines.write.partitionBy("shard").option("compression", "none").text(folder)
@@ -165,8 +165,13 @@ def read_shards(spark: SparkSession, folder: str, length: int = LENGTH) -> DataF
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
     schema = "shard int, place long, doc_id long, start long, n_tokens long, ids_crc32 long, key long, ids binary"
+    return _files(spark, folder).select("shard", "content").mapInArrow(run, schema)
+
+
+def _files(spark: SparkSession, folder: str) -> DataFrame:
+    """All shard files; a folder without shards has no rows."""
     files = spark.read.format("binaryFile").load(folder)
-    return files.select("shard", "content").mapInArrow(run, schema)
+    return files if "shard" in files.columns else files.withColumn("shard", F.lit(None).cast("int")).where("false")
 
 
 def with_slots(records: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -179,8 +184,7 @@ def with_slots(records: DataFrame, sizes: DataFrame) -> DataFrame:
 
 def shard_sizes(spark: SparkSession, folder: str, length: int = LENGTH) -> DataFrame:
     """``(shard, rows)`` from file lengths; no file is opened."""
-    files = spark.read.format("binaryFile").load(folder)
-    return files.groupBy("shard").agg(F.floor(F.sum("length") / stride(length)).cast("long").alias("rows"))
+    return _files(spark, folder).groupBy("shard").agg(F.floor(F.sum("length") / stride(length)).cast("long").alias("rows"))
 
 
 def op9_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,18 +1,25 @@
-"""Operator 2: substring deduplication, exact by words.
+"""Operator 2: substring deduplication by content-defined chunks, exact by words.
+
+A gear hash rolls over the bytes of a text: each step shifts the hash and adds a table value
+for the byte, so it depends on the last eight bytes only.
 
 ``without_passages`` cuts every word that lies in ``PASSAGE`` words in a row which a document
-of smaller id has too.  Each such window of words has a seed: the least hash of the runs of
-``GRAM`` words in it.  Equal windows have equal seeds, and neighbouring windows mostly share
-theirs, so seeds are few; windows are hashed and compared only where a seed is in several
-documents.  A match is one run of words in one other document, and is as long as it is there.
-
-``without_repeats`` works by content-defined chunks.  A gear hash rolls over the bytes of a
-text: each step shifts the hash and adds a table value for the byte, so an eight-bit hash
-depends on the last eight bytes only.  A chunk ends at a blank whose hash is below
-``CUT_BELOW``, about every fifth word; in a stretch without blanks it may end between any two
-characters.  A chunk is repeated in a document if its digest also occurs in one of smaller id.
-Runs of repeated chunks of ``min_words`` words or more are cut out; they need not stand in a
-row in one other document, and some passages of over 50 words have no such run.
+of smaller id has too.  A chunk ends at each word whose gear hash is the least of some
+``NEAR`` words in a row around it, so chunks have ``NEAR`` words at most, about half of that
+mostly, and an insertion changes only those beside it.  Every passage of that length holds
+several chunks that depend on nothing outside it.  Digests of ``CHUNKS`` of them in a row are
+grouped; the least digest inside a window of ``PASSAGE`` words is the window's seed.  Equal
+windows have equal seeds, and neighbouring windows mostly share theirs, so seeds are few;
+windows are hashed and compared only where a seed is in several documents, word by word
+and whatever the blanks.  A match is one run of words in one other document, and is as long
+as it is there.
+
+``without_repeats`` cuts out runs of repeated chunks instead.  There a chunk ends at a blank
+whose eight-bit hash is below ``CUT_BELOW``, about every fifth word; in a stretch without
+blanks it may end between any two characters.  A chunk is repeated in a document if its
+digest also occurs in one of smaller id.  Runs of repeated chunks of ``min_words`` words or
+more are cut out; they need not stand in a row in one other document, and some passages of
+over 50 words have no such run.
 
 Digests are grouped with partial sums, and only digests of several documents are joined
 to their rows again; a digest in very many documents is a skewed join, which Spark splits.
@@ -39,10 +46,15 @@ CUT_BELOW, CUT_BELOW_INSIDE = 48, 8
 # Bytes without a blank after which a chunk may end inside them.
 NO_BLANK = 64
 MIN_WORDS = 28
-# Words of the shortest passage, and of the runs that seeds are chosen from.
-PASSAGE, GRAM = 50, 25
+# Words of the shortest passage; words around a chunk's end of which it has the least hash;
+# chunks in a row that make a digest.
+PASSAGE, NEAR, CHUNKS = 50, 8, 3
+# Words of a passage after which hashes no longer depend on what stands before it: eight bytes
+# are four words at most.
+_AWAY = 4
 
 _GEAR = (common.mixed(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(40)).astype(np.uint8)
+_WIDE = (common.mixed(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(48)).astype(np.uint16)
 _BLANK = common._SPACE
 
 
@@ -182,6 +194,68 @@ def _grams(hashes: np.ndarray, words: int) -> np.ndarray:
     return common.mixed((sums[words:] - sums[:-words]) * down[: len(hashes) - words + 1] + np.uint64(words))
 
 
+def _word_gear(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A sixteen-bit gear hash at the end of each word, over the text with one blank between
+    words: two bits a step, so that eight bytes fill it."""
+    blank = _BLANK[data]
+    keep = ~blank
+    keep[1:] |= ~blank[:-1]
+    text = np.where(blank, np.uint8(0x20), data)[keep]
+    h = _WIDE[text]
+    for width in (1, 2, 4):
+        shifted = h[:-width] << np.uint16(2 * width) if len(h) > width else h[:0]
+        h = h.copy()
+        h[width:] += shifted
+    return h[np.cumsum(keep)[end - 1] - 1]
+
+
+def _least(values: np.ndarray, width: int) -> np.ndarray:
+    """The least of each run of ``width`` values."""
+    have = 1
+    while have < width:
+        step = min(have, width - have)
+        values = np.minimum(values[:-step], values[step:])
+        have += step
+    return values
+
+
+def word_cuts(h: np.ndarray) -> np.ndarray:
+    """Numbers of the words that end a chunk: those of least hash in some run of NEAR words."""
+    if len(h) < NEAR:
+        return np.zeros(0, np.int64)
+    least = _least(h, NEAR)
+    # The greatest of the minima of the runs that a word is in; at both ends there are fewer.
+    padded = np.r_[np.zeros(NEAR - 1, h.dtype), least, np.zeros(NEAR - 1, h.dtype)]
+    most = ~_least(~padded, NEAR)
+    return np.flatnonzero(most == h)
+
+
+def _chunk_seeds(hashes: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The seed of each window of PASSAGE words: the least digest of CHUNKS chunks in a row
+    whose ends depend on the window's words only."""
+    cuts = word_cuts(h)
+    up, down = common._power_tables(len(hashes) + 1)
+    sums = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(hashes * up[: len(hashes)], out=sums[1:])
+    before, after = cuts[:-CHUNKS], cuts[CHUNKS:]
+    digest = common.mixed((sums[after + 1] - sums[before + 1]) * down[before + 1] + (after - before).astype(np.uint64))
+    first = np.arange(len(hashes) - PASSAGE + 1)
+    low = np.searchsorted(cuts, first + _AWAY + NEAR - 1, "left")
+    high = np.searchsorted(cuts, first + PASSAGE - NEAR, "right") - CHUNKS  # digests from low to before high
+    out = np.empty(len(first), np.uint64)
+    power, table = 0, digest
+    while True:
+        # Ranges that two runs of this width cover.
+        size = high - low
+        rows = np.flatnonzero((size >= 1 << power) & (size < 2 << power))
+        if len(rows):
+            out[rows] = np.minimum(table[low[rows]], table[high[rows] - (1 << power)])
+        if len(table) <= 1 << power or not (size >= 2 << power).any():
+            return out
+        table = np.minimum(table[: -(1 << power)], table[1 << power :])
+        power += 1
+
+
 def _windows(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """By slices of rows: the row of each window of PASSAGE words, the number of its first
     word in the row, its seed and its hash."""
@@ -196,11 +270,8 @@ def _windows(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndar
         row = np.searchsorted(ends + np.arange(1, last - first + 1), start, "right")
         no = np.arange(len(start)) - np.searchsorted(row, row)
         hashes = common.span_hashes(data, start, end)
-        seed, width, have = _grams(hashes, GRAM), PASSAGE - GRAM + 1, 1
-        while have < width:
-            step = min(have, width - have)
-            seed = np.minimum(seed[:-step], seed[step:])
-            have += step
+        # A window over two rows has a seed that means nothing; it is left out.
+        seed = _chunk_seeds(hashes, _word_gear(data, start, end))
         whole = np.flatnonzero(row[: 1 - PASSAGE] == row[PASSAGE - 1 :])
         yield first + row[whole], no[whole], seed[whole], _grams(hashes, PASSAGE)[whole]
 
@@ -240,7 +311,7 @@ def _places(docs: DataFrame) -> DataFrame:
 
 def passages(docs: DataFrame) -> DataFrame:
     """``(doc_id, mark, places)`` for ``docs (doc_id, mark, text)``: first words of the
-    windows that a document of smaller id has."""
+    windows that a document of smaller id has.  What it takes to find them is deleted."""
 
     def several(rows: DataFrame) -> DataFrame:
         ids = rows.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
@@ -248,12 +319,16 @@ def passages(docs: DataFrame) -> DataFrame:
 
     docs = docs.where("doc_id is not null")
     seeds = _seeds(docs)
-    shared = seeds.join(several(seeds).select("digest"), "digest")
+    repeated_seeds = several(seeds)
+    shared = seeds.join(repeated_seeds.select("digest"), "digest")
     shared = shared.groupBy("doc_id", "mark").agg(F.collect_set("digest").alias("seeds"))
     windows = docs.join(shared, ["doc_id", "mark"]).select("doc_id", "mark", "text", "seeds")
     windows = common.stored(_places(windows), "windows")
-    again = windows.join(several(windows), "digest").where("doc_id > least")
-    return again.groupBy("doc_id", "mark").agg(F.collect_list("place").alias("places"))
+    repeated_windows = several(windows)
+    again = windows.join(repeated_windows, "digest").where("doc_id > least")
+    places = common.stored(again.groupBy("doc_id", "mark").agg(F.collect_list("place").alias("places")), "places")
+    common.discard(repeated_seeds, windows, repeated_windows)
+    return places
 
 
 def _without(text: str, places: np.ndarray) -> tuple[str, list[int]]:
@@ -280,7 +355,8 @@ def _without(text: str, places: np.ndarray) -> tuple[str, list[int]]:
 
 def without_passages(docs: DataFrame) -> DataFrame:
     """``docs`` without the passages of PASSAGE words or more that a document of smaller id
-    has, and ``n_chunks`` and ``removed`` as in ``without_repeats``."""
+    has, and ``n_chunks`` and ``removed`` as in ``without_repeats``, unless ``docs`` has columns
+    of these names, which then stay as they are."""
     names = list(docs.columns)
     # Rows of one id may have several texts.
     mark = F.hash("text").alias("mark")
@@ -306,7 +382,8 @@ def without_passages(docs: DataFrame) -> DataFrame:
                 )
 
     out = both.mapInArrow(run, f"rest {schema}, text string, n_chunks long, removed array<long>")
-    return out.select(*("text" if n == "text" else F.col(f"rest.{n}").alias(n) for n in names), "n_chunks", "removed")
+    more = [n for n in ("n_chunks", "removed") if n not in names]
+    return out.select(*("text" if n == "text" else F.col("rest")[n].alias(n) for n in names), *more)
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -86,3 +86,13 @@ def test_edge_rows(spark):
     ]
     assert [(r.n_shingles, r.component_id) for r in got if r.doc_id is None] == [(46, None)]
     assert jaccard.similar_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_patterned_words_are_not_alike(spark):
+    from test_substrings import thue_morse
+
+    one = thue_morse(2048)
+    two = one.translate(str.maketrans("th", "ht"))
+    docs = spark.createDataFrame([(1, one), (2, two), (3, f"{one} and four more words"), (4, f"{two} and four more words")], "doc_id long, text string")
+    found = {r.doc_id: r.component_id for r in jaccard.similar_components(docs).collect()}
+    assert found == {1: 1, 2: 2, 3: 3, 4: 4}

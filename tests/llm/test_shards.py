@@ -80,3 +80,10 @@ def test_given_documents(spark):
     rows = shards.op9_training_order(spark, sf_dir).collect()
     assert sum(r.n_tokens for r in rows) == count and sorted(r.slot for r in rows) == list(range(len(rows)))
     assert sum(r.n_tokens < shards.LENGTH for r in rows) <= 8
+
+
+def test_empty_table(spark):
+    none = spark.createDataFrame([], "doc_id long, text string")
+    folder, records = written(spark, none, 64, 20)
+    assert records.collect() == [] and shards.read_shards(spark, folder, 64).columns[0] == "shard"
+    assert shards.shard_sizes(spark, folder, 64).collect() == []

@@ -164,3 +164,61 @@ def test_words_of_several_sources_stay(spark):
     rows = sources + [(4, " ".join(t for _, t in sources)), (5, "the " * 40), (6, "so " + "the " * 49)]
     got = {r.doc_id: r for r in sub.without_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert {i: r.text for i, r in got.items()} == dict(rows) and not any(r.removed for r in got.values())
+
+
+def test_every_window_has_a_seed_of_its_own_words():
+    """Seeds of equal windows are equal whatever stands around them, in any kind of text."""
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdeäß漢") for _ in range(rng.randrange(1, 9))) for _ in range(300)]
+    kinds = [
+        [rng.choice(words) for _ in range(70)], ["la"] * 70, ["a", "b"] * 35, ["x" * 200, "y"] * 35, ["i"] * 70,
+        [rng.choice("ab") for _ in range(70)], [f"w{k}" for k in range(70)],
+    ]
+    for passage in kinds:
+        texts = []
+        for blanks in (" ", "  \n\t"):
+            around = [" ".join(rng.choice(words) for _ in range(rng.randrange(0, 40))) for _ in range(2)]
+            texts.append(f"{around[0]} {blanks.join(passage)} {around[1]}")
+        seeds = []
+        for text in texts + [" ".join(passage)]:
+            w = text.split()
+            (found,) = list(sub._windows(pa.array([text])))
+            at = {tuple(w[n : n + 50]): int(s) for n, s in zip(found[1], found[2])}
+            seeds.append([at[tuple(passage[k : k + 50])] for k in range(21)])
+        assert seeds[0] == seeds[1] == seeds[2]
+
+
+def test_cuts_move_little():
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(1, 9))) for _ in range(3000)]
+
+    def chunks(w):
+        data = np.frombuffer(" ".join(w).encode(), np.uint8)
+        cuts = sub.word_cuts(sub._word_gear(data, *sub.common.word_spans(data))).tolist()
+        return {tuple(w[a + 1 : b + 1]) for a, b in zip(cuts, cuts[1:])}
+
+    before, after = chunks(words), chunks([*words[:1500], "inserted", "words", *words[1500:]])
+    assert len(before) > 500 and len(before - after) <= 6
+    assert max(map(len, before)) <= sub.NEAR
+
+
+def thue_morse(n, a="t", b="h"):
+    text = a
+    while len(text) < n:
+        text += text.translate(str.maketrans(a + b, b + a))
+    return text
+
+
+def test_patterned_words_do_not_collide():
+    for n in (1024, 4096, 8192):
+        one = thue_morse(n)
+        two = one.translate(str.maketrans("th", "ht"))
+        data = np.frombuffer((one + two).encode(), np.uint8)
+        a, b = sub.common.span_hashes(data, np.array([0, n]), np.array([n, 2 * n]))
+        assert a != b
+    data = np.frombuffer(b"abc" * 40, np.uint8)
+    start = np.arange(0, 90)
+    for size in range(30):
+        hashes = sub.common.span_hashes(data, start, start + size)
+        assert len(set(hashes.tolist())) == (1 if size == 0 else 3)
+        assert (hashes[:3] == hashes[3:6]).all()

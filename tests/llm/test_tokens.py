@@ -93,3 +93,14 @@ def test_given_documents(spark):
     for row in counting.op8_token_counts(spark, sf_dir).collect():
         n = len(library.encode(docs[row.doc_id], add_special_tokens=False).ids)
         assert (row.n_tokens, row.over_limit) == (n, n > 1024)
+
+
+def test_patterned_words_are_counted_apart(spark):
+    from test_substrings import thue_morse
+
+    one = thue_morse(1024)
+    two = one.translate(str.maketrans("th", "ht"))
+    df = spark.createDataFrame([(1, f"{one} {two}"), (2, one), (3, two)], "doc_id long, text string")
+    library = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = {r.doc_id: len(library.encode(r.text, add_special_tokens=False).ids) for r in df.collect()}
+    assert {r.doc_id: r.n_tokens for r in counting.token_counts(df).collect()} == want
