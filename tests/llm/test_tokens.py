@@ -103,4 +103,4 @@ def test_patterned_words_are_counted_apart(spark):
     df = spark.createDataFrame([(1, f"{one} {two}"), (2, one), (3, two)], "doc_id long, text string")
     library = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     want = {r.doc_id: len(library.encode(r.text, add_special_tokens=False).ids) for r in df.collect()}
-    assert {r.doc_id: r.n_tokens for r in counting.token_counts(df).collect()} == want
+    assert {r.id: r.n_tokens for r in counting.token_counts(df).collect()} == want
