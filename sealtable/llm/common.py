@@ -270,8 +270,8 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """``(id, component)`` for every id in ``edges (a, b)``; component is the smallest id
     that links reach.  Alternating large-star and small-star steps: each node hands its
     neighbours to its least neighbour until only stars are left.  Each step is one
-    aggregation and one join; its rows are stored, and only their count and sum come to
-    the driver."""
+    aggregation and one join; its rows are stored, those of the step before are deleted, and
+    only their count and sum come to the driver."""
     pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     pairs = stored(pairs, label)
     seen = None
@@ -284,7 +284,8 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(least, "u")
         step = moved.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        pairs = stored(step.where("u <> v").distinct(), label)
+        before, pairs = pairs, stored(step.where("u <> v").distinct(), label)
+        discard(before, large)
         now = pairs.agg(
             F.count("*").alias("n"),
             F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("h"),

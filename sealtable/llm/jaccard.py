@@ -278,7 +278,9 @@ def _verified(docs: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
     both = b.select("sig_a", "a", "b", "set_b").join(a.hint("merge"), "sig_a")
     shared = F.size(F.array_intersect("set_a", "set_b"))
     union = F.size("set_a") + F.size("set_b") - shared
-    return both.where(shared * 100 >= union * PERCENT).select("a", "b")
+    found = common.stored(both.where(shared * 100 >= union * PERCENT).select("a", "b"), "links")
+    common.discard(pairs, wanted, sets)
+    return found
 
 
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
@@ -336,7 +338,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     mine = members.select(F.col("node").alias("a"), F.col("sig").alias("sig_a"))
     theirs = members.select(F.col("node").alias("b"), F.col("sig").alias("sig_b"))
     late = _verified(ids, across.join(mine, "a").join(theirs, "b").select(*names), words)
-    late = common.stored(late, "late")
+    common.discard(held, across)
     # The components that late links join; found ones are not gone through again.
     ends = late.select(F.col("a").alias("node")).unionByName(late.select(F.col("b").alias("node"))).distinct()
     of = common.small(common.stored(found.join(common.small(ends), "node"), "ends"))
@@ -345,6 +347,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         late = late.join(named, side, "left").withColumn(side, F.coalesce("c", side)).drop("c")
     joined = common.components(late).select(F.col("id").alias("component"), F.col("component").alias("whole"))
     joined = common.small(common.stored(joined, "joined"))
+    common.discard(members, chiefs)
     return (
         rows.join(nodes, "sig", "left")
         .join(found, "node", "left")
