@@ -6,6 +6,7 @@ slices of about ``SLICE`` bytes, so memory does not follow the batch or the text
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Iterator
 
@@ -39,6 +40,20 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches, with the memory that is free before each given back: workers live on from
+    stage to stage, and what one stage freed would otherwise stay with them in the next."""
+    try:
+        trim = ctypes.CDLL("libc.so.6").malloc_trim
+    except (OSError, AttributeError):
+        trim = None
+    for batch in batches:
+        pa.default_memory_pool().release_unused()
+        if trim:
+            trim(0)
+        yield batch
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -280,7 +280,7 @@ def _seeds(docs: DataFrame) -> DataFrame:
     """``(digest, doc_id, mark)`` of the seeds of ``docs (doc_id, mark, text)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.trimmed(batches):
             ids, marks = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             for row, _, seed, _ in _windows(batch.column(2)):
                 new = np.ones(len(row), bool)
@@ -296,7 +296,7 @@ def _places(docs: DataFrame) -> DataFrame:
     seeds)`` that have one of the seeds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.trimmed(batches):
             ids, marks = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             for row, no, seed, digest in _windows(batch.column(2)):
                 seed, good = common.longs(seed), np.zeros(len(row), bool)
@@ -367,7 +367,7 @@ def without_passages(docs: DataFrame) -> DataFrame:
     schema = both.schema["rest"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
+        for whole in common.trimmed(batches):
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
                 places, texts = batch.column(2), batch.column(1).to_pylist()
