@@ -23,8 +23,11 @@ from sealtable.functions import payload  # noqa: E402
 from sealtable.plans import jobs, text_queries  # noqa: E402
 from sealtable.plans.secure_queries import new_keyring, stored, table  # noqa: E402
 from sealtable.session import builder, work_path  # noqa: E402
+from sealtable.operators.skipping import Between, build_index, read_where  # noqa: E402
+from sealtable.sources.columns import seal_columns  # noqa: E402
+from sealtable.sources.files import read_files  # noqa: E402
 from sealtable.sources.readers import open_sealed, read_table, scan_sealed  # noqa: E402
-from sealtable.sources.writers import seal_files, seal_rows  # noqa: E402
+from sealtable.sources.writers import seal_files, seal_rows, write_table  # noqa: E402
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
@@ -57,6 +60,12 @@ def main() -> None:
     sealed = stored(lineitem, keyring)
     sealed_columnar = stored(lineitem, keyring, "parquet")
     sealed_zstd = stored(lineitem, keyring, "parquet", codec="zstd")
+    columns = stored(lineitem, keyring, "columns")
+    ordered, index = work_path(spark, "ordered"), work_path(spark, "index")
+    write_table(lineitem, ordered, keyring, layout="columns", cluster_by=["l_orderkey"], block_rows=4096)
+    build_index(spark, ordered, index, keyring, lineitem.schema, ["l_orderkey"])
+    some = [Between("l_orderkey", 1000, 1400)]
+    files = stored(lineitem, keyring, "file")
     old_orders = stored(orders, keyring)
     rotated = keyring.add_key()
     mb = payload.encode(lineitem, "csv").agg(F.sum(F.octet_length("line") + 1)).first()[0] / 1e6
@@ -73,6 +82,16 @@ def main() -> None:
         "secure_filter_zstd": lambda: drain(
             read_table(spark, sealed_zstd, lineitem.schema, keyring, layout="parquet", codec="zstd").where(keep)
         ),
+        "columns_read": lambda: drain(read_table(spark, columns, lineitem.schema, keyring, layout="columns")),
+        "columns_read_two_of_eleven": lambda: drain(
+            read_table(spark, columns, lineitem.schema, keyring, layout="columns", columns=["l_orderkey", "l_shipdate"])
+        ),
+        "columns_filter": lambda: drain(
+            read_table(spark, columns, lineitem.schema, keyring, layout="columns").where(keep)
+        ),
+        "columns_skipping": lambda: drain(read_where(spark, ordered, index, keyring, lineitem.schema, some)),
+        "encrypt_columns": lambda: drain(seal_columns(lineitem, keyring)),
+        "files_read_in_splits": lambda: drain(read_files(spark, files, keyring, lineitem.schema, whole_bytes=0)),
         "secure_query_to_ciphertext": lambda: jobs.query_table(
             spark, sealed, work_path(spark, "out"), keyring, lineitem.schema, keep=keep
         ),

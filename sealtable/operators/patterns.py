@@ -12,6 +12,7 @@ order, and the text is walked again after each, as a value may bring in later st
 
 from __future__ import annotations
 
+import heapq
 import uuid
 from collections.abc import Callable
 
@@ -34,7 +35,8 @@ def _gathered(patterns: DataFrame, columns: list[Column], order: list[str]) -> l
 
 
 def _automaton(sent) -> tuple:
-    """``(automaton, strings)`` of this worker; string numbers stand at the words they equal."""
+    """``(automaton, strings, reach)`` of this worker; string numbers stand at the words they
+    equal."""
     import ahocorasick
 
     name, rows = sent.value
@@ -48,19 +50,32 @@ def _automaton(sent) -> tuple:
         for mark, numbers in places.items():
             automaton.add_word(mark, numbers)
         automaton.make_automaton()
-        _automata[name] = (automaton if places else None, rows)
+        _automata[name] = (automaton if places else None, rows, max(map(len, places), default=1) - 1)
     return _automata[name]
 
 
-def fill_text(text: str, automaton, rows: list) -> str:
-    """Successive replacement by ``rows`` of mark, value and whether only its first place."""
-    done = -1
-    while True:
-        found = min((k for _, numbers in automaton.iter(text) for k in numbers if k > done), default=None)
-        if found is None:
-            return text
-        mark, value, first_only = rows[found]
-        text, done = text.replace(mark, value, 1 if first_only else -1), found
+def fill_text(text: str, automaton, rows: list, reach: int) -> str:
+    """Successive replacement by ``rows`` of mark, value and whether only its first place;
+    ``reach`` is one less than the length of the longest mark."""
+    waiting = list({k for _, numbers in automaton.iter(text) for k in numbers})
+    heapq.heapify(waiting)
+    seen = set(waiting)
+    while waiting:
+        turn = heapq.heappop(waiting)
+        mark, value, first_only = rows[turn]
+        parts = text.split(mark, 1 if first_only else -1)
+        if len(parts) == 1:
+            continue  # an earlier replacement took it away
+        text, at = value.join(parts), 0
+        for part in parts[:-1]:
+            at += len(part)
+            for _, numbers in automaton.iter(text, max(0, at - reach), min(len(text), at + len(value) + reach)):
+                for k in numbers:
+                    if k > turn and k not in seen:
+                        seen.add(k)
+                        heapq.heappush(waiting, k)
+            at += len(value)
+    return text
 
 
 def _over_texts(sent, kind: str, use: Callable) -> Callable:
@@ -68,8 +83,8 @@ def _over_texts(sent, kind: str, use: Callable) -> Callable:
     def run(texts):
         import pandas as pd
 
-        automaton, rows = _automaton(sent)
-        return pd.Series([None if t is None else use(t, automaton, rows) for t in texts], dtype=object)
+        found = _automaton(sent)
+        return pd.Series([None if t is None else use(t, *found) for t in texts], dtype=object)
 
     return run
 
@@ -91,7 +106,7 @@ def filled_from(
     once = F.coalesce(F.col(first_only), F.lit(False)) if first_only else F.lit(False)
     rows = _gathered(patterns, [F.col(mark), F.coalesce(F.col(value), F.lit("")), once], [order, mark])
     sent = df.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, rows))
-    fill = _over_texts(sent, "string", lambda t, automaton, rows: fill_text(t, automaton, rows) if automaton else t)
+    fill = _over_texts(sent, "string", lambda t, automaton, *rest: fill_text(t, automaton, *rest) if automaton else t)
     return df.withColumn(column, fill(F.col(column)))
 
 
@@ -99,7 +114,7 @@ def containing_any(df: DataFrame, needles: DataFrame, column: str = "line", need
     """Rows whose ``column`` contains one of the strings at least; empty strings count for nothing."""
     rows = _gathered(needles.select(needle).distinct(), [F.col(needle)], [needle])
     sent = df.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, rows))
-    found = _over_texts(sent, "boolean", lambda t, automaton, _: automaton is not None and next(automaton.iter(t), None) is not None)
+    found = _over_texts(sent, "boolean", lambda t, automaton, *_: automaton is not None and next(automaton.iter(t), None) is not None)
     return df.where(F.coalesce(found(F.col(column)), F.lit(False)))
 
 
@@ -108,7 +123,7 @@ def found_strings(df: DataFrame, needles: DataFrame, column: str = "line", needl
     rows = _gathered(needles.select(needle).distinct(), [F.col(needle)], [needle])
     sent = df.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, rows))
 
-    def those(text: str, automaton, rows: list) -> list[str]:
+    def those(text: str, automaton, rows: list, _reach: int) -> list[str]:
         return [rows[k][0] for k in sorted({k for _, numbers in automaton.iter(text) for k in numbers})] if automaton else []
 
     return df.withColumn(name, _over_texts(sent, "array<string>", those)(F.col(column)))

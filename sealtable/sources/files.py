@@ -191,28 +191,38 @@ def _summary(parts: DataFrame, edge: int) -> DataFrame:
 
 def _placed(summary: DataFrame, keyring: Keyring, key_id: int | None) -> DataFrame:
     """Splits with their place in the file: ``at`` to ``end`` are the bytes read by it, ``data``
-    is where the IV stands, ``carry`` the 32 bytes before ``at``; and the file's key."""
+    is where the IV stands, ``carry`` the 32 bytes before ``at``; and the file's key.  Of the
+    ends of splits only a few bytes go through the running sum of a file."""
     told = keyring.active_id if key_id is None else key_id
+    narrow = summary.select(
+        "path", "start", "length", "n",
+        F.substring("head", 1, HEAD_BYTES).alias("begin"), F.substring("tail", -33, 33).alias("last"),
+    )
     order = Window.partitionBy("path").orderBy("start")
-    before, earlier = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(-32, -1)
-    whole = Window.partitionBy("path")
-    start = F.first("head").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    before, earlier = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(-33, -1)
+    every = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    begin = F.first("begin").over(every)
     # A file whose last byte is no LF seems to have one more.
-    extra = F.sum("n").over(whole) - F.col("length")
+    extra = F.sum("n").over(every) - F.col("length")
     wrong = F.raise_error(F.concat(F.lit("the parts of a file are not the whole of it: "), F.col("path")))
-    placed = summary.select(
-        "path", "start", "length", "n", "head", "tail",
+    placed = narrow.select(
+        "path", "start", "length", "n",
         F.coalesce(F.sum("n").over(before), F.lit(0)).alias("at"),
-        F.transform(F.collect_list("tail").over(earlier), lambda t: F.substring(t, -32, 32)).alias("carry"),
-        F.when(extra.isin(0, 1), F.when(_marked(start), HEAD_BYTES).otherwise(0)).otherwise(wrong.cast("int")).alias("data"),
-        _key_id(start, told).alias("key_id"),
+        F.collect_list("last").over(earlier).alias("carry"),
+        F.when(extra.isin(0, 1), F.when(_marked(begin), HEAD_BYTES).otherwise(0)).otherwise(wrong.cast("int")).alias("data"),
+        _key_id(begin, told).alias("key_id"),
     )
+    placed = placed.withColumn("end", F.least(F.col("at") + F.col("n"), "length"))
+    # Each task gets the key with its split, so rows keep their order afterwards.
+    return keyring.attach(placed.withColumn("body", F.lit(b""))).drop("body")
+
+
+def _with_ends(splits: DataFrame, summary: DataFrame) -> DataFrame:
+    """Splits with their first and last bytes, the imaginary LF at a file's end left out."""
+    found = splits.join(summary.select("path", "start", "head", "tail"), ["path", "start"])
     beyond = F.col("at") + F.col("n") > F.col("length")
     shorter = F.substr(F.col("tail"), F.lit(1), F.octet_length("tail") - 1)
-    placed = placed.withColumn("tail", F.when(beyond, shorter).otherwise(F.col("tail")))
-    placed = placed.withColumn("end", F.least(F.col("at") + F.col("n"), "length")).drop("n")
-    # Each task gets the key with its split, so rows keep their order afterwards.
-    return keyring.attach(placed.withColumn("body", F.col("head"))).drop("body")
+    return found.withColumn("tail", F.when(beyond, shorter).otherwise(F.col("tail")))
 
 
 def _owned(at: int, end: int, data: int) -> tuple[int, int]:
@@ -430,7 +440,7 @@ def open_in_splits(
         _summary(parts, edge).write.parquet(noted)
         summary = spark.read.schema("path string, start long, length long, n long, head binary, tail binary").parquet(noted)
         splits = _placed(summary, keyring, key_id)
-        fragments = _fragments(_edges(splits))
+        fragments = _fragments(_edges(_with_ends(splits, summary)))
         if fragments.where("unresolved").isEmpty():
             break
         edge *= 16
