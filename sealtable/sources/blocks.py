@@ -40,15 +40,15 @@ def pack_lines(lines: DataFrame, block_bytes: int = BLOCK_BYTES, codec: str | No
         def joined():
             lines = pa.concat_arrays(held)
             held.clear()
-            text = pc.binary_join(pa.LargeListArray.from_arrays(pa.array([0, len(lines)], pa.int64()), lines), newline)
-            return text[0].as_buffer()
+            return pc.binary_join(pa.LargeListArray.from_arrays(pa.array([0, len(lines)], pa.int64()), lines), newline)
 
         def batch_of(blocks: list) -> pa.RecordBatch:
+            # A block may be a whole file: one alone is passed on without a copy.
+            texts = blocks[0] if len(blocks) == 1 else pa.concat_arrays(blocks)
             if zip_ is None:
-                texts = pa.array([b.to_pybytes() for b in blocks], pa.binary()).cast(pa.string())
-            else:
-                texts = pa.array([zip_(b, asbytes=True) for b in blocks], pa.binary())
-            return pa.RecordBatch.from_arrays([texts], ["block"])
+                return pa.RecordBatch.from_arrays([texts.cast(pa.string())], ["block"])
+            zipped = pa.array([zip_(text.as_buffer(), asbytes=True) for text in texts], pa.binary())
+            return pa.RecordBatch.from_arrays([zipped], ["block"])
 
         for batch in batches:
             # 64-bit offsets: a batch of long texts may exceed 2 GiB.
