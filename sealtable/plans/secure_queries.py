@@ -299,14 +299,15 @@ def rekey_files_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def repartition_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files of an encrypted table written in 8, read in 8 and written plain in 8."""
+    """Files of an encrypted table written in 8, read in 8 and written plain in 8.  However large
+    the table is, 8 tasks carry it; so its blocks are compressed before they are sealed."""
     lineitem, keyring = table(spark, sf_dir, "lineitem"), session_keyring(spark)
     source, target = work_path(spark, "sealed"), work_path(spark, "plain")
-    write_table(lineitem, source, keyring, partitions=8, block_bytes=4096)
+    write_table(lineitem, source, keyring, partitions=8, block_bytes=4096, codec="zstd")
     jobs.decrypt_table(
-        spark, source, target, lineitem.schema, keyring, input_partitions=8, output_partitions=8
+        spark, source, target, lineitem.schema, keyring, input_partitions=8, output_partitions=8, codec="zstd"
     )
-    opened = read_table(spark, source, lineitem.schema, keyring, partitions=8)
+    opened = read_table(spark, source, lineitem.schema, keyring, partitions=8, codec="zstd")
     tasks = opened.select(F.spark_partition_id().alias("task")).agg(F.count_distinct("task").alias("n")).select(F.lit("tasks_in").alias("what"), "n")
     plain = read_table(spark, target, lineitem.schema, crypto_mode=PLAIN_TEXT)
     files = plain.select(F.input_file_name().alias("file"))

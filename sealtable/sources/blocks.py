@@ -85,12 +85,23 @@ def unpack_lines(blocks: DataFrame, codec: str) -> DataFrame:
         import pyarrow as pa
         import pyarrow.compute as pc
 
+        def lines_of(texts: list) -> pa.RecordBatch:
+            text = pa.array([b"\n".join(texts)], pa.large_binary()).cast(pa.large_string())
+            lines = pc.split_pattern(text, "\n").flatten()
+            return pa.RecordBatch.from_arrays([lines.cast(pa.string())], ["line"])
+
         for batch in batches:
+            # Small blocks go back together.
+            texts, size = [], 0
             for block in batch.column(0):
                 with pa.CompressedInputStream(pa.BufferReader(block.as_buffer()), codec) as stream:
-                    text = pa.array([stream.read()], pa.large_binary()).cast(pa.large_string())
-                lines = pc.split_pattern(text, "\n").flatten()
-                yield pa.RecordBatch.from_arrays([lines.cast(pa.string())], ["line"])
+                    texts.append(stream.read())
+                size += len(texts[-1])
+                if size >= BATCH_BYTES:
+                    yield lines_of(texts)
+                    texts, size = [], 0
+            if texts:
+                yield lines_of(texts)
 
     return blocks.mapInArrow(unpack, "line string")
 

@@ -15,6 +15,17 @@ def gathered(scan: DataFrame, wanted: int | None) -> DataFrame:
     return scan.coalesce(wanted) if wanted < have else scan.repartition(wanted)
 
 
+def dealt(scan: DataFrame, wanted: int | None) -> DataFrame:
+    """A scan of sealed blocks brought to ``wanted`` partitions of nearly as many blocks each.
+
+    Merging whole splits of files gives some tasks one split more than others, which is twice
+    the bytes when there are few splits a task; so blocks are exchanged, as ciphertext.
+    """
+    if wanted is None or wanted == scan.rdd.getNumPartitions():
+        return scan
+    return scan.repartition(wanted)
+
+
 def spread(df: DataFrame, wanted: int | None, have: int | None = None) -> DataFrame:
     """Bring ``df`` to ``wanted`` partitions at write time.
 

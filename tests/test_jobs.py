@@ -1,6 +1,7 @@
 """Jobs, run archive, generated people and layouts."""
 
 import glob
+import os
 import random
 
 import pytest
@@ -8,8 +9,9 @@ from pyspark.sql import functions as F
 
 from sealtable.functions import draw
 from sealtable.functions.cipher import AES_CBC, PLAIN_TEXT
+from sealtable.functions.payload import csv_line
 from sealtable.operators.relational import PEOPLE_SCHEMA, count_matching, first_rows, young_developers
-from sealtable.plans import jobs, runs
+from sealtable.plans import jobs, runs, secure_queries
 from sealtable.plans.secure_queries import stored, table
 from sealtable.session import shared_folder, work_path
 from sealtable.sources.blocks import pack_lines
@@ -111,6 +113,34 @@ def test_partition_counts(spark, keyring):
     assert read_table(spark, path, df.schema, keyring, partitions=3).count() == 10_000
 
 
+def test_few_read_tasks_get_even_shares(spark, keyring):
+    """Five files in four tasks: merging whole files gave one task two of them."""
+    df, path = spark.range(20_000), work_path(spark, "five")
+    write_table(df, path, keyring, partitions=5, block_bytes=1000)
+    tasks = scan_sealed(spark, path, partitions=4).groupBy(F.spark_partition_id()).count().collect()
+    blocks = [t["count"] for t in tasks]
+    assert len(blocks) == 4 and max(blocks) < 1.2 * sum(blocks) / 4
+    assert sorted(read_table(spark, path, df.schema, keyring, partitions=4).collect()) == sorted(df.collect())
+
+
+def test_eight_files_carry_compressed_blocks(spark, tmp_path, monkeypatch):
+    """What the 8 tasks read is well below the lines that they carry, on rows of many kinds."""
+    rng = random.Random(5)
+    rows = [(rng.randrange(10**9), rng.randrange(10**6), rng.randrange(1, 8), rng.uniform(900, 99_000), rng.choice("ANR"), None) for _ in range(20_000)]
+    df = spark.createDataFrame(rows, "l_orderkey bigint, l_partkey bigint, l_linenumber int, l_extendedprice double, l_returnflag string, l_shipdate timestamp_ntz")
+    df = df.withColumn("l_extendedprice", F.round("l_extendedprice", 2)).withColumn("l_shipdate", F.expr("make_timestamp_ntz(1992 + l_partkey % 7, 1 + l_partkey % 12, 1 + l_orderkey % 28, 0, 0, 0)"))
+    df.write.parquet(f"{tmp_path}/lineitem.parquet")
+    made = {}
+    monkeypatch.setattr(secure_queries, "work_path", lambda s, label: made.setdefault(label, work_path(s, label)))
+    counts = {r.what: r.n for r in secure_queries.repartition_counts(spark, str(tmp_path)).collect()}
+    assert counts == {"tasks_in": 8, "files_out": 8, "rows": 20_000}
+    lines = df.select(F.sum(F.octet_length(csv_line(df.schema)) + 1)).first()[0]
+    sealed = [os.path.getsize(f) for f in glob.glob(f"{made['sealed'].removeprefix('file://')}/*.txt")]
+    assert len(sealed) == 8 and sum(sealed) < 0.9 * lines and max(sealed) < 1.2 * sum(sealed) / 8
+    plain = read_table(spark, made["plain"], df.schema, crypto_mode=PLAIN_TEXT)
+    assert sorted(plain.collect()) == sorted(df.collect())
+
+
 def test_blocks_keep_every_line_in_order(spark):
     rng = random.Random(1)
     lines = ["x" * rng.choice([0, 1, 5, 50, 300]) + str(i) for i in range(2000)]
