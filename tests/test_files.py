@@ -180,3 +180,44 @@ def test_wrong_key_and_wrong_table_in_splits(spark, keyring, tiny_splits):
         fl.read_files(spark, path, keyring, df.withColumnRenamed("o_custkey", "other").schema, whole_bytes=0).collect()
     with pytest.raises(Exception, match="header|padding|Malformed|AES_CRYPTO|UTF"):
         fl.read_files(spark, path, new_keyring(spark), df.schema, whole_bytes=0).collect()
+
+
+def test_staged_files_are_not_compressed(spark, keyring, monkeypatch):
+    import pyarrow.parquet as pq
+
+    made = []
+    monkeypatch.setattr(fl, "work_path", lambda s, label: made.append(work_path(s, label)) or made[-1])
+    df, path = spark.range(3000).repartition(2), work_path(spark, "target")
+    fl.write_files(df, path, keyring, file_bytes=2000)
+    (staged,) = made
+    for part in pathlib.Path(staged.removeprefix("file://")).glob("*.parquet"):
+        groups = pq.ParquetFile(part).metadata
+        column = groups.row_group(0).column(groups.schema.names.index("content"))
+        assert column.compression == "UNCOMPRESSED" and not column.has_dictionary_page
+    back = fl.read_files(spark, path, keyring, df.schema)
+    assert sorted(back.collect()) == sorted(df.collect())
+
+
+@pytest.mark.parametrize("split", [300, 4096])
+def test_splits_carry_the_bytes_before_them(spark, keyring, tiny_splits, split):
+    """32 bytes and no list of them, as every line of ciphertext has them beside it."""
+    df, path = spark.range(1500).coalesce(1), work_path(spark, "files")
+    write_table(df, path, keyring, layout="file")
+    (content,) = raw_files(path).values()
+    tiny_splits(split)
+    summary = fl._summary(fl._parts(spark, path, fl.SEALED_GLOB, 0), 64)
+    places = fl._placed(summary, keyring, None).select("at", "carry").collect()
+    assert len(places) > 1
+    assert all(bytes(p.carry) == content[max(0, p.at - 32) : p.at] for p in places)
+
+
+def test_lines_lose_their_cr_and_empty_lines_go(spark, keyring, tiny_splits):
+    text = "k,s\r\n1,\"a\"\r\n\r\n2,\"b\"\n\n3,\"\"\r\n"
+    one = spark.createDataFrame([("x.csv.cbc", text)], "name string, text string")
+    path, staged = work_path(spark, "files"), work_path(spark, "staged")
+    one.select("name", fl.encrypt_bytes(F.col("text").cast("binary"), keyring.active_key()).alias("content")).write.parquet(staged)
+    fl.export_files(spark.read.parquet(staged), path)
+    for split in (20, 1000):
+        tiny_splits(split)
+        rows = fl.read_files(spark, path, keyring, "k int, s string", whole_bytes=0).collect()
+        assert sorted(map(tuple, rows)) == [(1, "a"), (2, "b"), (3, "")]
