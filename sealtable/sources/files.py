@@ -478,8 +478,11 @@ def write_files(
     if store.get_file_info(root).type != fs.FileType.NotFound:
         raise FileExistsError(f"{target} exists already")
     staged = work_path(df.sparkSession, "files")
-    # Ciphertext neither compresses nor repeats.
-    seal_files(df, keyring, file_bytes).write.option("compression", "none").option("parquet.enable.dictionary", "false").parquet(staged)
+    # Ciphertext neither compresses nor repeats.  Sizes are checked at every row, or a hundred
+    # whole files would be one page.
+    options = {"compression": "none", "parquet.enable.dictionary": "false"}
+    checks = {f"parquet.{k}.size.row.check.min": "1" for k in ("page", "block")}
+    seal_files(df, keyring, file_bytes).write.options(**options, **checks).parquet(staged)
     export_files(df.sparkSession.read.parquet(staged), target)
 
 
