@@ -16,6 +16,8 @@ a count of all shingles in a sketch of fixed size: a bad estimate costs time, no
   component give the pairs across components that pass the filters; these are verified
   too.  Pairs within a component are never made, so no link is lost and no group of
   copies is written out in pairs.
+* Before a pair is verified, a bit or two per shingle tell that most unlike pairs cannot be
+  similar.  Only the texts of what is left are read into sets, and only those sets move.
 
 Defined cases: a null or empty text, or one without words, has an empty set, links with
 nothing and is its own component; a row without id has no component (null); repeated
@@ -42,6 +44,8 @@ PERCENT = 75
 COUNTERS, BLOCK = 1 << 22, 1 << 16
 # A list is dealt over as many tasks as its estimate holds this many entries, 4095 at most.
 LIST_ROWS, MOST_PARTS = 1024, 4095
+# A mark of a wanted text is one of 2^MARKS bits for its id and one of as many for its set.
+MARKS = 25
 # A posting's numbers in one: part (12 bits), position and size (26 bits each).  The part is
 # also mixed into the key by this factor, so that a part is a list of its own.
 BITS, FACTOR = 26, 0x1357_9BDF_2468
@@ -137,22 +141,43 @@ def _group(prefix: np.ndarray, n: int) -> int:
     return xxhash.xxh3_64_intdigest(prefix.tobytes(), seed=n) - (1 << 63)
 
 
+def _odd(shingles: np.ndarray) -> bytes:
+    """Which buckets hold an odd number of the shingles, a bit each.  There are as many as
+    shingles, rounded up to a power of two, and 64 at least."""
+    size = max(64, 1 << (len(shingles) - 1).bit_length())
+    held = np.bincount((shingles & np.uint64(size - 1)).astype(np.int64), minlength=size)
+    return np.packbits((held & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def _may_link(n: int, odd: bytes, n2: int, odd2: bytes) -> bool:
+    """False only if the sets cannot be similar.  A bucket that is odd for one of them alone
+    holds a shingle that the other lacks, and similar sets have 1/7 of both sizes of those at
+    most.  The halves of a longer row of buckets add up to one half as long."""
+    a, b = sorted((odd, odd2), key=len)
+    one, other, bits = int.from_bytes(a, "little"), int.from_bytes(b, "little"), 8 * len(b)
+    while bits > 8 * len(a):
+        bits //= 2
+        other = (other >> bits) ^ (other & ((1 << bits) - 1))
+    return (one ^ other).bit_count() * (100 + PERCENT) <= (n + n2) * (100 - PERCENT)
+
+
 def grouped(docs: DataFrame, words: int, rank) -> DataFrame:
-    """``(doc_id, sig, g)``: the group of each text that has a set."""
+    """``(sig, g, n, odd)``: the group, size and odd buckets of each text that has a set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = np.frombuffer(rank.value, np.uint8)
         for batch in batches:
-            rows, sigs, groups = [], [], []
-            for row, s in common.shingle_sets(batch.column(1), words):
+            sigs, groups, sizes, odds = [], [], [], []
+            for _, s in common.shingle_sets(batch.column(1), words):
                 if len(s):
-                    rows.append(row)
                     sigs.append(_signature(s))
                     groups.append(_group(_prefix(s, levels)[0], len(s)))
-            columns = [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(sigs, pa.int64())]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(groups, pa.int64())], ["doc_id", "sig", "g"])
+                    sizes.append(len(s))
+                    odds.append(_odd(s))
+            columns = [*(pa.array(c, pa.int64()) for c in (sigs, groups, sizes)), pa.array(odds, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["sig", "g", "n", "odd"])
 
-    return docs.mapInArrow(run, "doc_id long, sig long, g long")
+    return docs.mapInArrow(run, "sig long, g long, n long, odd binary")
 
 
 def postings(docs: DataFrame, words: int, rank) -> DataFrame:
@@ -244,33 +269,79 @@ def hub_pairs(held: DataFrame) -> DataFrame:
     return near.select("g", F.col("hub.g").alias("hub_g")).distinct()
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
+def _alike(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """Of ``pairs (sig_a, a, sig_b, b)`` those that ``_may_link`` leaves."""
+    for side in "ab":
+        names = {name: f"{name}_{side}" for name in ("sig", "n", "odd")}
+        pairs = pairs.join(members.select(*names).withColumnsRenamed(names), f"sig_{side}")
+    names = ["sig_a", "a", "sig_b", "b"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = (c.to_pylist() for c in batch.columns[len(names) :])
+            keep = [_may_link(*end) for end in zip(*ends)]
+            yield pa.RecordBatch.from_arrays(batch.columns[: len(names)], names).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.select(*names, "n_a", "odd_a", "n_b", "odd_b").mapInArrow(run, ", ".join(f"{c} long" for c in names))
+
+
+def _mark(values):
+    """The mark of each value, of a column or an array of unsigned numbers."""
+    if isinstance(values, np.ndarray):
+        folded = values ^ (values >> np.uint64(MARKS)) ^ (values >> np.uint64(2 * MARKS))
+        return (folded & np.uint64((1 << MARKS) - 1)).astype(np.int64)
+    folded = values.bitwiseXOR(F.shiftrightunsigned(values, MARKS)).bitwiseXOR(F.shiftrightunsigned(values, 2 * MARKS))
+    return folded.bitwiseAND((1 << MARKS) - 1)
+
+
+def _marks(wanted: DataFrame) -> bytes:
+    """The marks of ``wanted (doc_id, sig)``: bits of ids, then bits of sets.  Their size is
+    fixed, so they reach every task however many texts are wanted; a mark that is set for
+    another text costs time, not links."""
+    both = F.array(_mark(F.col("doc_id")), _mark(F.col("sig")) + (1 << MARKS))
+    places = wanted.select(F.explode(both).alias("place"))
+    block = F.shiftright("place", 15).alias("block")
+    bits = F.bitmap_construct_agg(F.col("place").bitwiseAND((1 << 15) - 1)).alias("bits")
+    out = bytearray(1 << MARKS >> 2)
+    for row in places.groupBy(block).agg(bits).collect():
+        out[row["block"] << 12 : (row["block"] + 1) << 12] = row["bits"]
+    return bytes(out)
+
+
+def _marked(marks: np.ndarray, values: np.ndarray, first: int) -> np.ndarray:
+    place = _mark(values.astype(np.uint64)) + first
+    return (marks[place >> 3] >> (place & 7).astype(np.uint8)) & 1 > 0
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, members: DataFrame, words: int) -> DataFrame:
     """Of ``pairs (sig_a, a, sig_b, b)``, nodes a and b of those that are similar."""
-    pairs = common.stored(pairs.distinct(), "candidates")
+    pairs = common.stored(_alike(pairs.distinct(), members), "candidates")
     wanted = pairs.select(F.col("a").alias("doc_id"), F.col("sig_a").alias("sig")).unionByName(
         pairs.select(F.col("b").alias("doc_id"), F.col("sig_b").alias("sig"))
     )
-    wanted = common.stored(wanted.distinct(), "wanted")
-    texts = docs.join(common.small(wanted), "doc_id").select("sig", "text")
+    held = docs.sparkSession.sparkContext.broadcast(_marks(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = np.frombuffer(held.value, np.uint8)
         written: set[int] = set()
         for whole in batches:
+            whole = whole.filter(pa.array(_marked(marks, whole.column(0).to_numpy(), 0)))
             for at in range(0, whole.num_rows, 200):
-                batch = whole.slice(at, 200)
+                found = [s for _, s in common.shingle_sets(whole.column(1).slice(at, 200), words)]
+                sigs = np.array([_signature(s) for s in found], np.int64)
                 rows, sets = [], []
-                asked = batch.column(0).to_pylist()
-                for row, s in common.shingle_sets(batch.column(1), words):
+                for k in np.flatnonzero(_marked(marks, sigs, 1 << MARKS)).tolist():
                     # Repeated rows of an id would only repeat their pairs.
-                    if _signature(s) == asked[row] and asked[row] not in written:
-                        written.add(asked[row])
-                        rows.append(asked[row])
-                        sets.append(common.longs(s))
+                    if len(found[k]) and int(sigs[k]) not in written:
+                        written.add(int(sigs[k]))
+                        rows.append(int(sigs[k]))
+                        sets.append(common.longs(found[k]))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(rows, pa.int64()), common.lists(sets, pa.int64())], ["sig", "shingles"]
                 )
 
-    sets = common.stored(texts.mapInArrow(run, "sig long, shingles array<long>"), "sets")
+    sets = common.stored(docs.mapInArrow(run, "sig long, shingles array<long>"), "sets")
+    held.destroy()
     # Sets move once, to the hubs; pairs come to them first.
     b = sets.withColumnsRenamed({"sig": "sig_b", "shingles": "set_b"}).join(common.small(pairs), "sig_b")
     hubs = common.small(pairs.select("sig_a").distinct())
@@ -279,12 +350,17 @@ def _verified(docs: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
     shared = F.size(F.array_intersect("set_a", "set_b"))
     union = F.size("set_a") + F.size("set_b") - shared
     found = common.stored(both.where(shared * 100 >= union * PERCENT).select("a", "b"), "links")
-    common.discard(pairs, wanted, sets)
+    common.discard(pairs, sets)
     return found
 
 
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
     """``(doc_id, n_shingles, component_id)`` per row."""
+    with common.shuffles_deleted(docs.sparkSession):
+        return _similar_components(docs, id_col, text_col, words)
+
+
+def _similar_components(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     first = shingled(docs, words)
@@ -295,7 +371,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # Nodes: the smallest id of each distinct set; members: which group a node is in.
     sets = rows.where("n > 0 and doc_id is not null")
     nodes = common.stored(sets.groupBy("sig").agg(F.min("doc_id").alias("node")), "nodes")
-    groups = grouped(ids, words, rank).groupBy("sig").agg(F.min("g").alias("g"))
+    groups = grouped(ids, words, rank).groupBy("sig").agg(*(F.min(c).alias(c) for c in ("g", "n", "odd")))
     members = common.stored(groups.join(nodes, "sig"), "members")
     chiefs = members.groupBy("g").agg(
         F.min(F.struct("node", "sig")).alias("chief"), F.count("*").alias("size")
@@ -309,7 +385,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     stars = hub_pairs(held).join(mine, "g").join(hubs, "hub_g")
     inside = mine.join(hubs.withColumnRenamed("hub_g", "g"), "g").where("a <> b")
     names = ["sig_a", "a", "sig_b", "b"]
-    links = _verified(ids, stars.select(*names).unionByName(inside.select(*names)), words)
+    links = _verified(ids, stars.select(*names).unionByName(inside.select(*names)), members, words)
 
     # Different texts under one id are one document.
     several = sets.groupBy("doc_id").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).where("lo < hi")
@@ -337,7 +413,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     across = common.stored(across.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), "across")
     mine = members.select(F.col("node").alias("a"), F.col("sig").alias("sig_a"))
     theirs = members.select(F.col("node").alias("b"), F.col("sig").alias("sig_b"))
-    late = _verified(ids, across.join(mine, "a").join(theirs, "b").select(*names), words)
+    late = _verified(ids, across.join(mine, "a").join(theirs, "b").select(*names), members, words)
     common.discard(held, across)
     # The components that late links join; found ones are not gone through again.
     ends = late.select(F.col("a").alias("node")).unionByName(late.select(F.col("b").alias("node"))).distinct()

@@ -96,3 +96,57 @@ def test_patterned_words_are_not_alike(spark):
     docs = spark.createDataFrame([(1, one), (2, two), (3, f"{one} and four more words"), (4, f"{two} and four more words")], "doc_id long, text string")
     found = {r.doc_id: r.component_id for r in jaccard.similar_components(docs).collect()}
     assert found == {1: 1, 2: 2, 3: 3, 4: 4}
+
+
+def test_only_what_may_be_similar_is_read_into_sets(spark, monkeypatch):
+    """Texts that share a passage are pairs of the lists, but not similar: no set of theirs is
+    written, no text is shuffled, and no shuffle outlives its query."""
+    rng = random.Random(5)
+    passage = " ".join(f"p{k}" for k in range(25))
+    rows = [(i, f"{passage} " + " ".join(f"u{rng.randrange(10**9)}" for _ in range(60))) for i in range(60)]
+    rows += [(100 + i, f"{t} more") for i, t in rows[:3]]
+    docs = jaccard.common.stored(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "docs")
+    written, joined = [], []
+
+    def stored(df, label, was=jaccard.common.stored):
+        out = was(df, label)
+        if label == "sets":
+            joined.append(re.findall("Exchange|Join", df._jdf.queryExecution().executedPlan().toString()))
+            written.append(out.count())
+        return out
+
+    def shuffled():
+        kept = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {name for k in range(kept.size()) if (name := kept.apply(k).getName()).startswith("shuffle")}
+
+    monkeypatch.setattr(jaccard.common, "stored", stored)
+    monkeypatch.setattr(jaccard.common, "BROADCAST_ROWS", 0)
+    # In the order of their hashes, common shingles come as early as rare ones.
+    monkeypatch.setattr(jaccard, "rarity", lambda blocks: jaccard.np.zeros(jaccard.COUNTERS, jaccard.np.uint8))
+    before = shuffled()
+    got = jaccard.similar_components(docs)
+    monkeypatch.undo()
+    assert not shuffled() - before
+    assert sorted(map(tuple, got.collect())) == brute(rows)
+    assert written == [6, 0]
+    assert joined == [[], []]
+
+
+def test_a_pair_is_left_out_only_if_it_cannot_be_similar():
+    """Sets of all sizes, also those that need buckets of another number."""
+    rng = jaccard.np.random.default_rng(6)
+
+    def may(a, b):
+        return jaccard._may_link(len(a), jaccard._odd(a), len(b), jaccard._odd(b))
+
+    for n in (1, 2, 7, 60, 64, 65, 127, 130, 1000, 1030, 5000):
+        a = jaccard.np.unique(rng.integers(0, 1 << 64, n, dtype=jaccard.np.uint64))
+        for gone, new in ((0, 0), (n // 4, 0), (0, n // 3), (n // 7, n // 7), (n // 8, n // 10)):
+            b = jaccard.np.union1d(a[gone:], rng.integers(0, 1 << 64, new, dtype=jaccard.np.uint64))
+            both = len(jaccard.np.intersect1d(a, b))
+            assert 100 * both >= 75 * (len(a) + len(b) - both)
+            assert may(a, b) and may(b, a)
+        if n >= 60:
+            other = rng.integers(0, 1 << 64, n, dtype=jaccard.np.uint64)
+            half = jaccard.np.union1d(a[: n // 2], other[n // 2 :])
+            assert not may(a, jaccard.np.unique(other)) and not may(a, half)
